@@ -88,9 +88,7 @@ def update_metadata(metadata: DataFrame, changes: DataFrame) -> DataFrame:
         "document_id",
         F.struct(*[F.col(c) for c in changed]).alias("_change"),
     )
-    joined = salted_join(
-        metadata, incoming, "document_id", "left", spread=row_hash(metadata)
-    )
+    joined = salted_join(metadata, incoming, "document_id", "left")
     matched = F.col("_change").isNotNull()
     return joined.select(
         *[
@@ -111,4 +109,4 @@ def delete_documents(rows: DataFrame, document_ids: DataFrame) -> DataFrame:
     processing results are kept as the record of what happened.
     """
     keys = document_ids.select("document_id").distinct()
-    return salted_join(rows, keys, "document_id", "left_anti", spread=row_hash(rows))
+    return salted_join(rows, keys, "document_id", "left_anti")

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the left rows, so there
-# are never more than 1 / HOT_SHARE hot keys and their list is safe to broadcast.
+# A key is hot when it holds more than this share of the left rows. There are
+# at most 1 / HOT_SHARE such keys, so their list is bounded whatever the input.
 HOT_SHARE = 1 / 500
 SALTS = 64
+# Keys followed per sketch: enough to find every key above HOT_SHARE.
+_TRACKED = 4096
+# Sketches are merged in this many groups before the last merge.
+_GROUPS = 512
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows; at most ``1 / share`` of them."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    floor = counts.agg((F.sum("_n") * F.lit(share)).alias("_floor"))
-    return counts.filter(F.col("_n") > floor.scalar()).select(key)
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys holding more than ``share`` of the rows, at most ``1 / share`` of them.
+
+    Each task keeps a frequent-items sketch of fixed size, so neither the
+    shuffle nor the result grows with the number of keys. The list only decides
+    where rows are sent: a key it misses is still joined, unsalted.
+    """
+    partial = (
+        rows.filter(F.col(key).isNotNull())
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("_group"))
+        .agg(
+            F.expr(f"approx_top_k_accumulate(`{key}`, {_TRACKED})").alias("_sketch"),
+            F.count("*").alias("_n"),
+        )
+    )
+    limit = int(1 / share)
+    found = partial.agg(
+        F.expr(
+            f"approx_top_k_estimate(approx_top_k_combine(_sketch, {_TRACKED}), {limit})"
+        ).alias("top"),
+        F.sum("_n").alias("n"),
+    ).first()
+    if not found.n:
+        return []
+    return sorted(item.item for item in found.top if item["count"] > share * found.n)
 
 
 def salted_join(
@@ -24,32 +48,31 @@ def salted_join(
     key: str,
     how: str = "left",
     *,
-    spread: Column,
     keys_from: DataFrame | None = None,
     share: float = HOT_SHARE,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds each key a bounded number of times.
 
-    Left rows of a hot key are spread over ``salts`` partitions by ``spread``,
-    an expression of their own columns, so a recomputed task places them as
-    before; only the matching right rows are repeated. Rows of all other keys
-    are joined as they are. ``keys_from`` counts keys on a cheaper copy of the
-    left side when the left side itself is expensive to compute twice.
+    Without a hot key this is the plain join. Otherwise left rows of hot keys
+    get a salt from the partition they are read in: that spreads even rows that
+    are copies of each other, and a task that runs again salts them the same
+    way. Only the matching right rows are repeated, once per salt.
+
+    Finding the hot keys runs a job over the key column when the join is
+    declared. ``keys_from`` names a cheaper source of the same keys when the
+    left side itself is expensive.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be salted")
     hot = hot_keys(left if keys_from is None else keys_from, key, share)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    bucket = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    spread_left = (
-        left.join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int")
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))
-    spread_right = (
-        right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    spread_left = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    spread_right = right.withColumn(
+        "_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
     )
     return spread_left.join(spread_right, [key, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselight.operators.keyed import latest_metadata, row_hash
+from clauselight.operators.keyed import latest_metadata
 from clauselight.operators.skew import salted_join
 
 
@@ -27,7 +27,7 @@ def results_with_metadata(results: DataFrame, metadata: DataFrame) -> DataFrame:
         F.col("extraction_method").alias("_method"),
         F.col("language_detected").alias("_language"),
     )
-    joined = salted_join(results, known, "document_id", "left", spread=row_hash(results))
+    joined = salted_join(results, known, "document_id", "left")
     filled = {"extraction_method": "_method", "language_detected": "_language"}
     return joined.select(
         *[
@@ -46,7 +46,7 @@ def results_with_processing_time(results: DataFrame, events: DataFrame) -> DataF
         .agg(F.max(F.struct("timestamp", "processing_time")).alias("_latest"))
         .select("document_id", F.col("_latest.processing_time").alias("_seconds"))
     )
-    joined = salted_join(results, times, "document_id", "left", spread=row_hash(results))
+    joined = salted_join(results, times, "document_id", "left")
     return joined.select(
         *[
             F.coalesce("_seconds", c).alias(c) if c == "processing_time_seconds" else F.col(c)

@@ -64,9 +64,7 @@ def raw_uploads(spark: SparkSession, path: str) -> DataFrame:
 def with_content(documents: DataFrame, raw: DataFrame) -> DataFrame:
     """Bytes of each document by storage path; NULL where the file is missing."""
     files = raw.select("storage_path", "content")
-    return salted_join(
-        documents, files, "storage_path", "left", spread=F.xxhash64("document_id")
-    )
+    return salted_join(documents, files, "storage_path", "left")
 
 
 def preview(df: DataFrame, rows: int = 10) -> DataFrame:
