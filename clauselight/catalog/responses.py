@@ -6,6 +6,7 @@ from clauselight.catalog import query
 from clauselight.catalog.text import READING, measures_check
 from clauselight.functions import records, report, response
 from clauselight.functions.text import with_reading_level
+from clauselight.session import new_path
 from clauselight.sources.adapters import table
 
 _NL = "chr(10)"
@@ -197,6 +198,13 @@ def rsp5(spark, sf_dir):
     return out.select("document_id", "parse_path", "summary", _flat_terms(), *flat)
 
 
+def _stored(df, name):
+    """Structured rows written once, so that filters read them, not responses."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _by_path(name: str, path: str) -> None:
     """One query per way of reading a response."""
 
@@ -207,7 +215,8 @@ def _by_path(name: str, path: str) -> None:
         + f" FROM structured WHERE parse_path = '{path}'",
     )
     def run(spark, sf_dir):
-        return rsp5(spark, sf_dir).filter(F.col("parse_path") == path).drop("parse_path")
+        stored = _stored(rsp5(spark, sf_dir), "structured")
+        return stored.filter(F.col("parse_path") == path).drop("parse_path")
 
 
 _by_path("rsp2_json_responses", "json")
@@ -218,22 +227,26 @@ _by_path("rsp4_fallback_responses", "fallback")
 @query(
     "rsp6_confidence",
     structured_check()
-    + "SELECT CAST(doc_id AS VARCHAR) AS document_id, confidence_score FROM scored WHERE parse_path <> 'error'",
+    + "SELECT CAST(doc_id AS VARCHAR) AS document_id, parse_path,"
+    " CASE WHEN parse_path <> 'error' THEN confidence_score END AS confidence_score FROM scored",
 )
 def rsp6(spark, sf_dir):
-    out = response.with_structure(responses(spark, sf_dir)).filter("parse_path <> 'error'")
-    return out.select("document_id", response.confidence().alias("confidence_score"))
+    out = response.with_structure(responses(spark, sf_dir))
+    return out.select(
+        "document_id", "parse_path", response.confidence().alias("confidence_score")
+    )
 
 
 def simplified(spark, sf_dir):
-    """Simplified documents as they would be stored, errors left out."""
-    out = response.with_structure(responses(spark, sf_dir)).filter("parse_path <> 'error'")
+    """Simplified documents as they are stored, errors left out."""
+    out = response.with_structure(responses(spark, sf_dir)).drop("response")
     out = with_reading_level(
         out.withColumn("confidence_score", response.confidence()),
         "summary",
         words="word_count_simplified",
     )
-    return out.withColumns(
+    done = _stored(out, "simplified").filter("parse_path <> 'error'")
+    return done.withColumns(
         {
             "original_filename": F.concat(F.lit("doc_"), "document_id", F.lit(".txt")),
             "processing_timestamp": F.lit("2024-01-02 00:00:00").cast("timestamp"),

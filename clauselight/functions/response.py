@@ -225,6 +225,10 @@ def with_structure(df: DataFrame, response: str = "response") -> DataFrame:
     ``parse_path`` is json, text, fallback or error; a NULL response gives
     NULLs. A bullet below a summary heading breaks the line reading: a response
     without braces then takes the canned record, one with broken JSON fails.
+
+    Write the result before filtering it by ``parse_path`` or content: a filter
+    on computed columns is evaluated at the scan and would read every response
+    twice.
     """
     kept = df.columns
     staged = df.withColumn("_json", json_block(F.col(response)))
@@ -260,7 +264,10 @@ def with_structure(df: DataFrame, response: str = "response") -> DataFrame:
 
 
 def confidence() -> Column:
-    """Score of a structured record, added up in a fixed order of doubles."""
+    """Score of a structured record, added up in a fixed order of doubles.
+
+    A row without a record, such as a failed one, has no score.
+    """
 
     def bonus(found: Column, points: float) -> Column:
         return F.when(found, F.lit(points)).otherwise(F.lit(0.0))
@@ -268,4 +275,4 @@ def confidence() -> Column:
     score = F.lit(0.5) + bonus(F.length("summary") > 50, 0.2)
     for name in ("key_points", "important_terms", "next_steps"):
         score = score + bonus(F.size(name) > 0, 0.1)
-    return F.least(score, F.lit(1.0))
+    return F.when(F.col("summary").isNotNull(), F.least(score, F.lit(1.0)))

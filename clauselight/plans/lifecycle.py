@@ -235,9 +235,7 @@ def process(
         F.col("_outcome.seconds").alias("processing_time"),
         _at(as_of).alias("processing_timestamp"),
     )
-    stored = _written(called, f"{workdir}/responses")
-
-    structured = response.with_structure(stored).withColumn(
+    structured = response.with_structure(called).withColumn(
         "error", F.coalesce("error", F.when(F.col("parse_path") == "error", UNREADABLE))
     )
     scored = with_reading_level(
@@ -245,7 +243,10 @@ def process(
         "summary",
         words="word_count_simplified",
     )
-    outcomes = scored.withColumnRenamed("filename", "original_filename")
+    # Calls and structure are paid for once; all outputs read this table.
+    outcomes = _written(
+        scored.withColumnRenamed("filename", "original_filename"), f"{workdir}/outcomes"
+    )
 
     # Per item again: what each request asked for, in request order.
     asked = requests.select("request", "batch_id", "position", "include_original")
