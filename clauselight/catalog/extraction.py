@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from clauselight.catalog import query, rounded
 from clauselight.functions import extraction as ex
-from clauselight.sources.adapters import METADATA_SQL, document_metadata, table
+from clauselight.sources.adapters import METADATA_SQL, document_metadata, documents, table
 
 # File names of every kind, one per document.
 _NAME = (
@@ -52,7 +52,7 @@ def fn11(spark, sf_dir):
         F.lit(b"!\xc3"),
         F.encode("text", "UTF-8"),
     )
-    rows = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    rows = documents(spark, sf_dir).select("doc_id", content.alias("content"))
     return rows.select(
         "doc_id",
         ex.decode_text(F.col("content")).alias("decoded"),
@@ -74,7 +74,7 @@ _SECOND = "CASE WHEN doc_id % 2 = 0 THEN '  ' || split_part(text, chr(10), 1) ||
 FROM (SELECT doc_id, {_FIRST} AS a, {_SECOND} AS b FROM documents) c""",
 )
 def fn12(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").selectExpr(
+    rows = documents(spark, sf_dir).selectExpr(
         "doc_id", f"{_FIRST} AS a", f"{_SECOND} AS b"
     )
     nothing = F.lit(None).cast("string")
@@ -100,7 +100,7 @@ def _pages(lines):
 
 def _document_pages(spark, sf_dir):
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", _pages(lines).alias("pages"))
+    return documents(spark, sf_dir).select("doc_id", _pages(lines).alias("pages"))
 
 
 _LINES = "str_split(text, chr(10))"
@@ -136,7 +136,7 @@ def fn14(spark, sf_dir):
             F.split(line, ",").alias("cells"),
         ),
     )
-    rows = table(spark, sf_dir, "documents").select("doc_id", blocks.alias("blocks"))
+    rows = documents(spark, sf_dir).select("doc_id", blocks.alias("blocks"))
     return rows.select("doc_id", ex.blocks_text(F.col("blocks")).alias("text"))
 
 
@@ -202,7 +202,7 @@ FROM (SELECT *, CASE WHEN file_type = 'image' THEN CASE WHEN c IS NULL THEN 'ocr
     CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 100 AS DOUBLE) / 100 END AS c FROM documents) a) b""",
 )
 def fn15(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(
+    rows = documents(spark, sf_dir).select(
         "doc_id",
         F.expr(
             "CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'doc' WHEN 2 THEN 'docx'"

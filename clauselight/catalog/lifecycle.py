@@ -11,7 +11,7 @@ from clauselight.catalog.text import READING, WS, measures_check, normalised_che
 from clauselight.functions import prompts
 from clauselight.operators import batch, intake
 from clauselight.plans import lifecycle
-from clauselight.sources.adapters import METADATA_SQL, document_metadata, table, texts
+from clauselight.sources.adapters import METADATA_SQL, document_metadata, documents, table, texts
 
 AS_OF = datetime(2024, 3, 1)
 _AS_OF = f"TIMESTAMP '{AS_OF}'"
@@ -377,7 +377,7 @@ FROM (SELECT *, {_LEVEL} AS simplification_level, {_AUDIENCE} AS target_audience
 def fn16(spark, sf_dir):
     from clauselight.functions.text import normalise
 
-    rows = table(spark, sf_dir, "documents").selectExpr(
+    rows = documents(spark, sf_dir).selectExpr(
         "CAST(doc_id AS STRING) AS document_id", "text",
         f"{_LEVEL} AS simplification_level", f"{_AUDIENCE} AS target_audience",
     )

@@ -7,7 +7,7 @@ from clauselight.catalog.text import READING, measures_check
 from clauselight.functions import records, report, response
 from clauselight.functions.text import with_reading_level
 from clauselight.session import new_path
-from clauselight.sources.adapters import table
+from clauselight.sources.adapters import documents
 
 _NL = "chr(10)"
 _PLAIN = "translate(text, chr(34) || chr(92), '  ')"
@@ -159,7 +159,7 @@ scored AS (SELECT *, CAST(0.5 AS DOUBLE)
 
 
 def responses(spark, sf_dir):
-    return table(spark, sf_dir, "documents").selectExpr(
+    return documents(spark, sf_dir).selectExpr(
         "CAST(doc_id AS STRING) AS document_id", "n_chars", f"{RESPONSE} AS response"
     )
 

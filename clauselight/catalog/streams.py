@@ -1 +1,120 @@
-"""Queries."""
+"""The streaming jobs, run to the end of the tables that are there."""
+
+from pyspark.sql import functions as F
+
+from clauselight import schemas
+from clauselight.catalog import query, rounded, usage_check
+from clauselight.catalog.events import _RAW, _RAW_SQL, _WRAPPED
+from clauselight.catalog.usage import QUOTA, _typed
+from clauselight.session import new_path
+from clauselight.sources.adapters import table, usage_from_events
+from clauselight.streaming import queries as streams
+
+
+def _events(spark, sf_dir):
+    """The event table as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    # A pattern, since a stream takes a single file only by pattern.
+    return streams.read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+
+
+def _usage(spark, sf_dir):
+    """Usage events as a stream; watermarks want an absolute timestamp."""
+    return usage_from_events(_events(spark, sf_dir)).withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp")
+    )
+
+
+def _raw_batches(spark, sf_dir):
+    raw = _events(spark, sf_dir).selectExpr(*_RAW)
+    good, bad, state = (new_path(spark, n) for n in ("events", "rejects", "state"))
+    streams.finish(streams.ingest_events(raw, good, bad, state, available_now=True))
+    return good, bad
+
+
+@query(
+    "str1_streamed_events",
+    f"""SELECT document_id, user_id, action, CAST(timestamp AS TIMESTAMP) AS timestamp, {_WRAPPED} AS metadata,
+  CAST(processing_time AS DOUBLE) AS processing_time, CAST(file_size AS BIGINT) AS file_size
+FROM ({_RAW_SQL}) r WHERE document_id IS NOT NULL AND TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL
+  AND TRY_CAST(processing_time AS DOUBLE) IS NOT NULL AND TRY_CAST(file_size AS BIGINT) IS NOT NULL""",
+)
+def str1(spark, sf_dir):
+    good, _ = _raw_batches(spark, sf_dir)
+    rows = spark.read.schema(schemas.PARTITIONED_USAGE).parquet(good)
+    return rows.select(
+        "document_id", "user_id", "action", "timestamp", "metadata", "processing_time", "file_size"
+    )
+
+
+@query(
+    "str1_rejected_events",
+    f"""SELECT document_id, user_id, CASE WHEN document_id IS NULL THEN 'missing_document_id'
+    WHEN TRY_CAST(timestamp AS TIMESTAMP) IS NULL THEN 'invalid_timestamp'
+    WHEN TRY_CAST(processing_time AS DOUBLE) IS NULL THEN 'invalid_processing_time'
+    ELSE 'invalid_file_size' END AS reject_reason
+FROM ({_RAW_SQL}) r WHERE document_id IS NULL OR TRY_CAST(timestamp AS TIMESTAMP) IS NULL
+  OR TRY_CAST(processing_time AS DOUBLE) IS NULL OR TRY_CAST(file_size AS BIGINT) IS NULL""",
+)
+def str1_rejected(spark, sf_dir):
+    _, bad = _raw_batches(spark, sf_dir)
+    return spark.read.parquet(bad).select("document_id", "user_id", "reject_reason")
+
+
+@query(
+    "str2_streamed_daily_metrics",
+    usage_check(_typed("""
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, count(*) AS daily_actions,
+  round(avg(processing_time), 6) AS average_processing_time,
+  round(avg(confidence_score), 6) AS average_confidence_score,
+  count_if(processing_time > 30) AS slow_processing_count,
+  count_if(confidence_score < 0.7) AS low_confidence_count
+FROM usage_analytics GROUP BY 1""")),
+)
+def str2(spark, sf_dir):
+    daily = streams.daily_metrics(_usage(spark, sf_dir))
+    path, state = new_path(spark, "daily"), new_path(spark, "state")
+    streams.finish(streams.keep_latest(daily, path, state, available_now=True))
+    out = streams.latest_versions(spark.read.parquet(path), "date")
+    # Approximate counts are left to the tests.
+    out = out.drop("daily_documents", "daily_users", "batch")
+    out = rounded(out, "average_processing_time", "average_confidence_score")
+    return out.withColumn("date", F.col("date").cast("string"))
+
+
+# Each event moves its document on: the status follows from the kind of event.
+_STATUS = (
+    "CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'click' THEN 'processing'"
+    " WHEN 'error' THEN 'failed' ELSE 'completed' END AS status"
+)
+
+
+@query(
+    "str3_current_status",
+    f"""SELECT document_id, status, timestamp FROM (
+  SELECT CAST(user_id AS VARCHAR) AS document_id, {_STATUS}, ts AS timestamp,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,
+      CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 4 ELSE 3 END DESC) AS rn
+  FROM events) t WHERE rn = 1""",
+)
+def str3(spark, sf_dir):
+    changes = _events(spark, sf_dir).selectExpr(
+        "CAST(user_id AS STRING) AS document_id", _STATUS, "ts AS timestamp"
+    )
+    path, state = new_path(spark, "status"), new_path(spark, "state")
+    streams.finish(streams.status_changes(changes, path, state, available_now=True))
+    return streams.current_status(spark.read.parquet(path))
+
+
+@query(
+    "str4_streamed_quota_violations",
+    usage_check(f"""
+SELECT user_id, date_trunc('hour', timestamp) AS window_start, count(*) AS requests
+FROM usage_analytics WHERE user_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > {QUOTA}"""),
+)
+def str4(spark, sf_dir):
+    found = streams.quota_violations(_usage(spark, sf_dir), limit=QUOTA)
+    path, state = new_path(spark, "quota"), new_path(spark, "state")
+    streams.finish(streams.keep_latest(found, path, state, available_now=True))
+    out = streams.latest_versions(spark.read.parquet(path), "user_id", "window_start")
+    return out.select("user_id", "window_start", "requests")

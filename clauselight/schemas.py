@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP": T.TimestampType(),
+    "BINARY": T.BinaryType(),
+    "STRINGS": T.ArrayType(T.StringType()),
+    "TERMS": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Columns as ``name TYPE [NOT NULL]``; no session is needed to read them."""
+    fields = []
+    for column in columns.split(","):
+        name, kind, *rest = column.split()
+        fields.append(T.StructField(name, _TYPES[kind], nullable=not rest))
+    return T.StructType(fields)
 
 
 USAGE_ANALYTICS = _struct(
@@ -41,9 +58,9 @@ PROCESSING_RESULTS = _struct(
 
 SIMPLIFIED_DOCUMENTS = _struct(
     "document_id STRING, original_filename STRING, summary STRING,"
-    " key_points ARRAY<STRING>, important_terms MAP<STRING,STRING>,"
-    " deadlines_obligations ARRAY<STRING>, warnings ARRAY<STRING>,"
-    " next_steps ARRAY<STRING>, processing_timestamp TIMESTAMP,"
+    " key_points STRINGS, important_terms TERMS,"
+    " deadlines_obligations STRINGS, warnings STRINGS,"
+    " next_steps STRINGS, processing_timestamp TIMESTAMP,"
     " simplification_level STRING, confidence_score DOUBLE, original_text STRING,"
     " word_count_original BIGINT, word_count_simplified BIGINT, reading_level STRING"
 )

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from clauselight import schemas
 from clauselight.functions import report
 
+# Tasks a single day is spread over when events are appended.
+DAY_PARTS = 64
+# JSON keeps every field, and times to the microsecond.
+JSON_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Columns of a table in its own order and types."""
@@ -22,10 +30,15 @@ def append_events(events: DataFrame, path: str) -> None:
     Rows are gathered by day and, within a day, spread over several tasks, so a
     busy day is neither one file per task nor one task.
     """
-    rows = conform(events, "usage_analytics").withColumn("event_date", F.to_date("timestamp"))
-    spread = F.pmod(F.xxhash64("document_id", "timestamp"), F.lit(16))
+    rows = conform(events, "usage_analytics").withColumns(
+        {
+            "event_date": F.to_date("timestamp"),
+            "_part": F.pmod(F.xxhash64("document_id", "timestamp"), F.lit(DAY_PARTS)),
+        }
+    )
     (
-        rows.hint("rebalance", "event_date", spread)
+        rows.hint("rebalance", "event_date", "_part")
+        .drop("_part")
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(path)
@@ -52,17 +65,16 @@ def write_simplified(simplified: DataFrame, path: str, *, per_document: bool = F
     form is the one to use for many documents.
     """
     rows = simplified.select(*schemas.columns(schemas.SIMPLIFIED_DOCUMENTS))
-    options = {"ignoreNullFields": "false"}
     if per_document:
         rows = rows.withColumn("document", F.col("document_id"))
-        rows.write.options(**options).partitionBy("document").mode("append").json(path)
+        rows.write.options(**JSON_OPTIONS).partitionBy("document").mode("append").json(path)
     else:
-        rows.write.options(**options).mode("append").json(path)
+        rows.write.options(**JSON_OPTIONS).mode("append").json(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
     """Full copy of a table as JSON lines."""
-    df.write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
+    df.write.options(**JSON_OPTIONS).mode("errorifexists").json(path)
 
 
 def write_reports(simplified: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clauselight.sources.tables import spread
+
 EVENT_KEY = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k"
 
 USAGE_EXPRS = [
@@ -101,7 +103,12 @@ def processing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(RESULTS_FILTER).selectExpr(*RESULTS_EXPRS)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table for work that costs far more than reading it."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
+    return documents(spark, sf_dir).selectExpr(
         "CAST(doc_id AS STRING) AS document_id", "text", "lang", "source"
     )

@@ -67,5 +67,17 @@ def with_content(documents: DataFrame, raw: DataFrame) -> DataFrame:
     return salted_join(documents, files, "storage_path", "left")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on an input stored in fewer pieces than there are cores.
+
+    A table of many files is returned as it is: its own splits keep the cluster
+    busy and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def preview(df: DataFrame, rows: int = 10) -> DataFrame:
     return df.limit(rows)
