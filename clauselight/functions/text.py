@@ -111,11 +111,11 @@ def reading_minutes(words: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(words / WORDS_PER_MINUTE)).cast("bigint")
 
 
-def with_text_measures(df: DataFrame, text: str = "text") -> DataFrame:
+def with_text_measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add ``total_words``, ``word_chars``, ``segments``, ``complex_sentence_count``.
 
     Segments are the pieces between sentence ends; the piece after the last
-    one counts too, even when empty.
+    one counts too, even when empty. ``prefix`` goes before the new names.
     """
     kept = df.columns
     staged = df.withColumn("_flat", collapse(F.col(text)))
@@ -128,16 +128,15 @@ def with_text_measures(df: DataFrame, text: str = "text") -> DataFrame:
     solid = F.replace(F.col("_trimmed"), F.lit(" "), F.lit(""))
     return staged.select(
         *[F.col(c) for c in kept],
-        _single_spaced_words(F.col("_trimmed")).alias("total_words"),
-        F.length(solid).cast("bigint").alias("word_chars"),
-        F.size("_segments").cast("bigint").alias("segments"),
-        F.size(F.filter("_segments", _is_complex)).cast("bigint").alias("complex_sentence_count"),
+        _single_spaced_words(F.col("_trimmed")).alias(f"{prefix}total_words"),
+        F.length(solid).cast("bigint").alias(f"{prefix}word_chars"),
+        F.size("_segments").cast("bigint").alias(f"{prefix}segments"),
+        F.size(F.filter("_segments", _is_complex))
+        .cast("bigint")
+        .alias(f"{prefix}complex_sentence_count"),
     )
 
 
-_MEASURES = ("total_words", "word_chars", "segments", "complex_sentence_count")
-
-
 def reading_level_of(words: Column, word_chars: Column, segments: Column) -> Column:
     sentence = words / segments
     word = F.try_divide(word_chars, words)
@@ -162,31 +161,30 @@ def complexity_level_of(term_ratio: Column, sentence_ratio: Column) -> Column:
 def with_complexity(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the complexity record and the reading level of a text column."""
     kept = df.columns
-    lowered = with_text_measures(df, text).withColumn("_lower", F.lower(F.col(text)))
-    counted = lowered.withColumn("legal_term_count", lowered_term_count(F.col("_lower")))
-    words = F.col("total_words")
+    lowered = with_text_measures(df, text, "_").withColumn("_lower", F.lower(F.col(text)))
+    counted = lowered.withColumn("_legal_terms", lowered_term_count(F.col("_lower")))
+    words, terms, complex_ones = (
+        F.col(c) for c in ("_total_words", "_legal_terms", "_complex_sentence_count")
+    )
     ratios = counted.withColumns(
         {
-            "legal_term_ratio": F.when(words > 0, F.col("legal_term_count") / words).otherwise(
-                F.lit(0.0)
-            ),
-            "complex_sentence_ratio": F.when(
-                F.col(text) != "", F.col("complex_sentence_count") / F.col("segments")
+            "_term_ratio": F.when(words > 0, terms / words).otherwise(F.lit(0.0)),
+            "_sentence_ratio": F.when(
+                F.col(text) != "", complex_ones / F.col("_segments")
             ).otherwise(F.lit(0.0)),
         }
     )
+    term_ratio, sentence_ratio = F.col("_term_ratio"), F.col("_sentence_ratio")
     return ratios.select(
         *[F.col(c) for c in kept],
-        complexity_level_of(F.col("legal_term_ratio"), F.col("complex_sentence_ratio")).alias(
-            "complexity_level"
-        ),
-        "legal_term_count",
-        "legal_term_ratio",
-        "complex_sentence_count",
-        "complex_sentence_ratio",
-        "total_words",
+        complexity_level_of(term_ratio, sentence_ratio).alias("complexity_level"),
+        terms.alias("legal_term_count"),
+        term_ratio.alias("legal_term_ratio"),
+        complex_ones.alias("complex_sentence_count"),
+        sentence_ratio.alias("complex_sentence_ratio"),
+        words.alias("total_words"),
         reading_minutes(words).alias("estimated_reading_time"),
-        reading_level_of(words, F.col("word_chars"), F.col("segments")).alias("reading_level"),
+        reading_level_of(words, F.col("_word_chars"), F.col("_segments")).alias("reading_level"),
     )
 
 
@@ -195,10 +193,10 @@ def with_reading_level(
 ) -> DataFrame:
     """Add the reading level of a text column, and its word count on request."""
     kept = df.columns
-    measured = with_text_measures(df, text)
-    extra = [F.col("total_words").alias(words)] if words else []
+    measured = with_text_measures(df, text, "_")
+    total = F.col("_total_words")
     return measured.select(
         *[F.col(c) for c in kept if c != level],
-        reading_level_of(F.col("total_words"), F.col("word_chars"), F.col("segments")).alias(level),
-        *extra,
+        reading_level_of(total, F.col("_word_chars"), F.col("_segments")).alias(level),
+        *([total.alias(words)] if words else []),
     )

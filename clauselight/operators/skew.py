@@ -31,13 +31,14 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
         )
     )
     limit = int(1 / share)
-    found = partial.agg(
+    # Grouped by a constant: no rows then give no group, which sketches require.
+    found = partial.groupBy(F.lit(True).alias("_all")).agg(
         F.expr(
             f"approx_top_k_estimate(approx_top_k_combine(_sketch, {_TRACKED}), {limit})"
         ).alias("top"),
         F.sum("_n").alias("n"),
     ).first()
-    if not found.n:
+    if found is None:
         return []
     return sorted(item.item for item in found.top if item["count"] > share * found.n)
 
