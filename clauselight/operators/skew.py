@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than this share of the left rows. There are
 # at most 1 / HOT_SHARE such keys, so their list is bounded whatever the input.
 HOT_SHARE = 1 / 500
+# Fewer rows than this fit any task, however large their share.
+MIN_HOT_ROWS = 5_000
 SALTS = 64
 # Keys followed per sketch: enough to find every key above HOT_SHARE.
 _TRACKED = 4096
@@ -16,7 +18,7 @@ _GROUPS = 512
 
 
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys holding more than ``share`` of the rows, at most ``1 / share`` of them.
+    """Keys with many rows and more than ``share`` of all; at most ``1 / share`` keys.
 
     Each task keeps a frequent-items sketch of fixed size, so neither the
     shuffle nor the result grows with the number of keys. The list only decides
@@ -40,7 +42,8 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     ).first()
     if found is None:
         return []
-    return sorted(item.item for item in found.top if item["count"] > share * found.n)
+    floor = max(share * found.n, MIN_HOT_ROWS)
+    return sorted(item.item for item in found.top if item["count"] > floor)
 
 
 def salted_join(

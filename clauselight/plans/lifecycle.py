@@ -35,6 +35,10 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _at(as_of: datetime | None) -> Column:
     return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
@@ -192,8 +196,11 @@ def process(
 
     Items asking for the same work share one model call: they collapse before
     the texts are joined, so a document requested very often is read and sent
-    once. ``parallelism`` spreads the calls over more tasks than the join left.
+    once. The join with the texts runs in ``parallelism`` tasks (default: the
+    session's shuffle partitions), since the calls that follow cost far more
+    than the size of their input suggests.
     """
+    tasks = parallelism or _shuffle_partitions(items.sparkSession)
     requests = _requests(items)
     work = requests.groupBy(
         "request", "document_id", "simplification_level", "target_audience"
@@ -208,7 +215,12 @@ def process(
     )
     staged = (
         work.join(known, "document_id", "left")
-        .join(texts.select("document_id", "text"), "document_id", "left")
+        .repartition(tasks, "document_id")
+        .join(
+            texts.select("document_id", "text").repartition(tasks, "document_id"),
+            "document_id",
+            "left",
+        )
         .withColumn(
             "error",
             F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(
@@ -226,8 +238,6 @@ def process(
         .withColumn("original_text", F.when(F.col("_keep"), F.col("text")))
         .drop("text", "_cleaned", "_keep")
     )
-    if parallelism:
-        staged = staged.repartition(parallelism, "request")
     called = staged.withColumn("_outcome", generated(F.col("_prompt"), generate)).select(
         *[c for c in staged.columns if c not in ("_prompt", "error")],
         F.coalesce("error", "_outcome.error").alias("error"),
@@ -336,7 +346,10 @@ def ask(
         .select("document_id", F.lit(True).alias("_found"))
         .join(texts.select("document_id", "text"), "document_id", "left")
     )
-    asked = salted_join(questions, documents, "document_id", "left").withColumn(
+    spread = questions.repartition(_shuffle_partitions(questions.sparkSession), "question_id")
+    asked = salted_join(
+        spread, documents, "document_id", "left", keys_from=questions
+    ).withColumn(
         "error",
         F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(
             F.coalesce(F.col("text"), F.lit("")) == "", NO_TEXT

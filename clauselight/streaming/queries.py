@@ -45,10 +45,16 @@ def ingest_events(
         rows = coerce_events(batch).withColumns(
             {"event_date": F.to_date("timestamp"), "good": F.col("reject_reason").isNull()}
         )
-        good = rows.filter("good").drop("good", "reject_reason")
-        bad = rows.filter("NOT good").drop("good", "event_date")
-        good.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        # Two writes from one reading of the source.
+        rows.persist()
+        try:
+            good = rows.filter("good").drop("good", "reject_reason")
+            bad = rows.filter("NOT good").drop("good", "event_date")
+            target = good.write.mode("overwrite").partitionBy("event_date")
+            target.parquet(f"{path}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return _start(raw.writeStream.foreachBatch(write), checkpoint, available_now)
 

@@ -14,7 +14,8 @@ def skewed(spark, n=30_000):
 
 def test_hot_keys_are_found_and_few(spark):
     assert skew.hot_keys(skewed(spark), "key") == ["hot"]
-    even = spark.range(5000).select(F.col("id").cast("string").alias("key"))
+    assert skew.hot_keys(skewed(spark, 300), "key") == []
+    even = spark.range(50_000).select(F.col("id").cast("string").alias("key"))
     assert skew.hot_keys(even, "key") == []
     assert skew.hot_keys(even.filter("key IS NULL"), "key") == []
 
@@ -24,7 +25,7 @@ def counts(df):
 
 
 def test_salted_joins_equal_plain_joins(spark):
-    left = skewed(spark, 3000).unionByName(
+    left = skewed(spark).unionByName(
         spark.sql("SELECT CAST(NULL AS STRING) AS key, 1 AS copy")
     )
     right = spark.sql("SELECT 'hot' AS key, 7 AS v UNION ALL SELECT 'k1', 8 UNION ALL SELECT 'other', 9")
@@ -47,7 +48,7 @@ def test_rows_of_a_hot_key_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def _metadata(spark, n=6000):
+def _metadata(spark, n=30_000):
     return spark.range(0, n, 1, 8).select(
         F.when(F.col("id") % 3 == 0, "d").otherwise(F.concat(F.lit("d"), "id")).alias("document_id"),
         F.lit("u").alias("user_id"),
@@ -67,9 +68,9 @@ def test_updates_and_deletes_of_a_hot_document(spark):
     updated = keyed.update_metadata(metadata, changes)
     assert updated.columns == metadata.columns
     found = updated.groupBy("status", "extraction_method").count().collect()
-    assert {tuple(r) for r in found} == {("completed", None, 2000), ("uploaded", "ocr", 4000)}
+    assert {tuple(r) for r in found} == {("completed", None, 10_000), ("uploaded", "ocr", 20_000)}
     kept = keyed.delete_documents(metadata, changes)
-    assert kept.count() == 4000 and kept.filter("document_id = 'd'").count() == 0
+    assert kept.count() == 20_000 and kept.filter("document_id = 'd'").count() == 0
 
 
 def test_long_lists_of_a_hot_user(spark):
@@ -77,13 +78,13 @@ def test_long_lists_of_a_hot_user(spark):
     for limit in (5, 1500):
         out = keyed.latest_documents(metadata, limit=limit)
         assert [r[0] for r in out.orderBy("rank").select("rank").collect()] == list(range(1, limit + 1))
-        assert out.agg(F.min("upload_timestamp").cast("long")).first()[0] == 6000 - limit
+        assert out.agg(F.min("upload_timestamp").cast("long")).first()[0] == 30_000 - limit
 
 
 def test_latest_keeps_one_row_per_key(spark):
     out = keyed.latest_metadata(_metadata(spark))
-    assert out.count() == 4001
-    assert out.filter("document_id = 'd'").first()["processing_timestamp"].timestamp() == 5997
+    assert out.count() == 20_001
+    assert out.filter("document_id = 'd'").first()["processing_timestamp"].timestamp() == 29_997
     assert keyed.latest_metadata(_metadata(spark), "d").count() == 1
     assert keyed.latest_metadata(_metadata(spark), "nobody").count() == 0
 
