@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselight.functions.text import strip
+from clauselight.functions.text import WHITESPACE
 
 LIST_FIELDS = ("key_points", "deadlines_obligations", "warnings", "next_steps")
 FIELDS = (
@@ -40,16 +40,26 @@ FALLBACK_KEY_POINT = "Unable to parse structured response"
 FALLBACK_WARNING = "Please review the original document for important details"
 FALLBACK_NEXT_STEP = "Consider consulting with a legal professional"
 
-_STRINGS = "array<string>"
-_TERMS = "map<string,string>"
+_EMPTY_LIST = "CAST(array() AS array<string>)"
+_EMPTY_TERMS = "from_json('{}', 'map<string,string>')"
 # Longer than any list, short enough not to overflow when added to a position.
 _ALL = 2**30
 
+# The expressions below are SQL text: they nest deeply, and text is parsed once
+# where every call of the column functions would be a round trip.
 
-def _empty(kind: str) -> Column:
-    if kind == _TERMS:
-        return F.from_json(F.lit("{}"), kind)
-    return F.array().cast(kind)
+
+def _literal(text: str) -> str:
+    """A text as an SQL literal, character by character."""
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in text) + "'"
+
+
+_WHITESPACE = _literal(WHITESPACE)
+_BREAK = _literal("\n")
+
+
+def _strip(text: str) -> str:
+    return f"btrim({text}, {_WHITESPACE})"
 
 
 # --- JSON ----------------------------------------------------------------
@@ -74,76 +84,75 @@ def strict_json(text: Column) -> Column:
     return F.when((F.size(items) == 1) & member.isNotNull(), items[0])
 
 
-def _text_of(value: Column) -> Column:
+def _text_of(value: str) -> str:
     """A JSON value as text: None, True and False by name, the rest as JSON has it."""
-    text = F.try_variant_get(value, "$", "string")
+    text = f"try_variant_get({value}, '$', 'string')"
     return (
-        F.when(F.is_variant_null(value), "None")
-        .when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
+        f"CASE WHEN is_variant_null({value}) THEN 'None'"
+        f" WHEN schema_of_variant({value}) = 'BOOLEAN' THEN initcap({text}) ELSE {text} END"
     )
 
 
-def _is_truthy(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
+def _is_truthy(value: str) -> str:
+    kind = f"schema_of_variant({value})"
+    text = f"try_variant_get({value}, '$', 'string')"
     return (
-        F.when(value.isNull() | F.is_variant_null(value), False)
-        .when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
+        f"CASE WHEN {value} IS NULL OR is_variant_null({value}) THEN false"
+        f" WHEN {kind} = 'STRING' THEN {text} <> ''"
+        f" WHEN {kind} = 'BOOLEAN' THEN {text} = 'true'"
+        f" WHEN startswith({kind}, 'ARRAY') THEN {text} <> '[]'"
+        f" WHEN startswith({kind}, 'OBJECT') THEN {text} <> '{{}}'"
+        f" ELSE coalesce(try_variant_get({value}, '$', 'double') <> 0, true) END"
     )
 
 
-def _clean(items: Column) -> Column:
-    return F.filter(F.transform(items, lambda x: strip(_text_of(x))), lambda s: s != "")
+def _clean(items: str) -> str:
+    return f"filter(transform({items}, x -> {_strip(_text_of('x'))}), s -> s <> '')"
 
 
-def _json_list(value: Column, keep_falsy: bool) -> Column:
+def _json_list(value: str, keep_falsy: bool) -> str:
     """A field as a list: a lone value is a list of one, a missing one is empty."""
-    items = F.try_variant_get(value, "$", "array<variant>")
-    keep = value.isNotNull() if keep_falsy else _is_truthy(value)
-    lone = F.when(keep, _clean(F.array(value))).otherwise(_empty(_STRINGS))
-    return F.when(items.isNotNull(), _clean(items)).otherwise(lone)
-
-
-def _json_terms(value: Column) -> Column:
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    kept = F.filter(entries, lambda e: (e["key"] != "") & _is_truthy(e["value"]))
-    pairs = F.transform(
-        kept,
-        lambda e: F.struct(
-            strip(e["key"]).alias("key"), strip(_text_of(e["value"])).alias("value")
-        ),
+    items = f"try_variant_get({value}, '$', 'array<variant>')"
+    keep = f"{value} IS NOT NULL" if keep_falsy else _is_truthy(value)
+    return (
+        f"CASE WHEN {items} IS NOT NULL THEN {_clean(items)}"
+        f" WHEN {keep} THEN {_clean(f'array({value})')} ELSE {_EMPTY_LIST} END"
     )
-    return F.coalesce(F.map_from_entries(pairs), _empty(_TERMS))
 
 
-def _json_record(variant: Column) -> Column:
-    def field(name: str) -> Column:
-        return F.try_variant_get(variant, f"$.{name}", "variant")
+def _json_terms(value: str) -> str:
+    entries = f"map_entries(try_variant_get({value}, '$', 'map<string,variant>'))"
+    kept = f"filter({entries}, e -> e.key <> '' AND {_is_truthy('e.value')})"
+    pair = f"struct({_strip('e.key')} AS key, {_strip(_text_of('e.value'))} AS value)"
+    return f"coalesce(map_from_entries(transform({kept}, e -> {pair})), {_EMPTY_TERMS})"
+
+
+def _struct(values: dict[str, str]) -> str:
+    return "struct(" + ", ".join(f"{values[f]} AS {f}" for f in FIELDS) + ")"
 
-    return F.struct(
-        F.coalesce(strip(_text_of(field("summary"))), F.lit("")).alias("summary"),
-        _json_list(field("key_points"), keep_falsy=True).alias("key_points"),
-        _json_terms(field("important_terms")).alias("important_terms"),
-        *[
-            _json_list(field(name), keep_falsy=False).alias(name)
-            for name in LIST_FIELDS[1:]
-        ],
+
+def _json_record(variant: str) -> str:
+    def field(name: str) -> str:
+        return f"try_variant_get({variant}, '$.{name}', 'variant')"
+
+    summary = _strip(_text_of(field("summary")))
+    return _struct(
+        {
+            "summary": f"coalesce({summary}, '')",
+            "important_terms": _json_terms(field("important_terms")),
+            **{n: _json_list(field(n), keep_falsy=n == "key_points") for n in LIST_FIELDS},
+        }
     )
 
 
 # --- lines ---------------------------------------------------------------
 
 
-def _is_bullet(line: Column) -> Column:
-    return F.substring(line, 1, 1).isin(*BULLETS)
+def _is_bullet(line: str) -> str:
+    return f"substring({line}, 1, 1) IN ({', '.join(map(_literal, BULLETS))})"
 
 
-def _section_blocks(response: Column) -> Column:
+def _section_blocks(response: str) -> str:
     """Lines grouped by heading: a list of [section, line, line, ...].
 
     Stripped lines are never empty, so a blank line can stand for a heading:
@@ -151,68 +160,62 @@ def _section_blocks(response: Column) -> Column:
     joined text is cut at blank lines. Lines before the first heading are lost,
     as is the text of the heading itself.
     """
-
-    def encode(line: Column, lowered: Column) -> Column:
-        line = strip(line)
-        chain = F.when(line == "", line)
-        for section, words in SECTION_WORDS:
-            found = F.lit(False)
-            for word in words:
-                found = found | F.contains(lowered, F.lit(word))
-            chain = chain.when(found, F.lit("\n" + section))
-        return chain.otherwise(line)
-
-    encoded = F.zip_with(F.split(response, "\n"), F.split(F.lower(response), "\n"), encode)
-    joined = F.concat(
-        F.lit("\n"), F.array_join(F.filter(encoded, lambda line: line != ""), "\n")
+    arms = "".join(
+        f" WHEN {' OR '.join(f'contains(low, {_literal(w)})' for w in words)}"
+        f" THEN {_literal(chr(10) + section)}"
+        for section, words in SECTION_WORDS
+    )
+    line = _strip("raw")
+    encode = f"CASE WHEN {line} = '' THEN ''{arms} ELSE {line} END"
+    encoded = (
+        f"zip_with(split({response}, {_BREAK}), split(lower({response}), {_BREAK}),"
+        f" (raw, low) -> {encode})"
     )
-    blocks = F.slice(F.split(joined, "\n\n"), 2, _ALL)
-    return F.transform(blocks, lambda block: F.split(block, "\n"))
+    joined = f"concat({_BREAK}, array_join(filter({encoded}, l -> l <> ''), {_BREAK}))"
+    blocks = f"slice(split({joined}, {_literal(chr(10) * 2)}), 2, {_ALL})"
+    return f"transform({blocks}, b -> split(b, {_BREAK}))"
 
 
-def _section(blocks: Column, name: str) -> Column:
-    own = F.filter(blocks, lambda block: block[0] == name)
-    return F.flatten(F.transform(own, lambda block: F.slice(block, 2, _ALL)))
+def _section(blocks: str, name: str) -> str:
+    own = f"filter({blocks}, b -> b[0] = '{name}')"
+    return f"flatten(transform({own}, b -> slice(b, 2, {_ALL})))"
 
 
-def _bulleted(lines: Column) -> Column:
-    return F.transform(F.filter(lines, _is_bullet), lambda line: strip(F.substr(line, F.lit(2))))
+def _bulleted(lines: str) -> str:
+    kept = f"filter({lines}, l -> {_is_bullet('l')})"
+    return f"transform({kept}, l -> {_strip('substring(l, 2)')})"
 
 
-def _text_terms(lines: Column) -> Column:
-    plain = F.filter(lines, lambda line: ~_is_bullet(line) & F.contains(line, F.lit(":")))
-    pairs = F.transform(
-        plain,
-        lambda line: F.struct(
-            strip(F.substring_index(line, ":", 1)).alias("key"),
-            strip(F.substr(line, F.locate(":", line) + 1)).alias("value"),
-        ),
-    )
-    return F.map_from_entries(pairs)
+def _text_terms(lines: str) -> str:
+    plain = f"filter({lines}, l -> NOT {_is_bullet('l')} AND contains(l, ':'))"
+    key = _strip("substring_index(l, ':', 1)")
+    value = _strip("substring(l, locate(':', l) + 1)")
+    return f"map_from_entries(transform({plain}, l -> struct({key} AS key, {value} AS value)))"
 
 
-def _text_record(blocks: Column) -> Column:
-    plain = F.filter(_section(blocks, "summary"), lambda line: ~_is_bullet(line))
-    lists = {name: _bulleted(_section(blocks, name)).alias(name) for name in LIST_FIELDS}
-    return F.struct(
-        F.coalesce(F.get(plain, F.lit(0)), F.lit("")).alias("summary"),
-        lists["key_points"],
-        _text_terms(_section(blocks, "important_terms")).alias("important_terms"),
-        *[lists[name] for name in LIST_FIELDS[1:]],
+def _text_record(blocks: str) -> str:
+    plain = f"filter({_section(blocks, 'summary')}, l -> NOT {_is_bullet('l')})"
+    return _struct(
+        {
+            "summary": f"coalesce(get({plain}, 0), '')",
+            "important_terms": _text_terms(_section(blocks, "important_terms")),
+            **{n: _bulleted(_section(blocks, n)) for n in LIST_FIELDS},
+        }
     )
 
 
-def _fallback_record(response: Column) -> Column:
-    head = F.substring(response, 1, FALLBACK_SUMMARY_CHARS)
-    return F.struct(
-        F.when(F.length(response) > FALLBACK_SUMMARY_CHARS, F.concat(head, F.lit("...")))
-        .otherwise(response)
-        .alias("summary"),
-        F.array(F.lit(FALLBACK_KEY_POINT)).alias("key_points"),
-        _empty(_TERMS).alias("important_terms"),
-        _empty(_STRINGS).alias("deadlines_obligations"),
-        F.array(F.lit(FALLBACK_WARNING)).alias("warnings"),
-        F.array(F.lit(FALLBACK_NEXT_STEP)).alias("next_steps"),
+def _fallback_record(response: str) -> str:
+    head = f"concat(substring({response}, 1, {FALLBACK_SUMMARY_CHARS}), '...')"
+    long = f"length({response}) > {FALLBACK_SUMMARY_CHARS}"
+    return _struct(
+        {
+            "summary": f"CASE WHEN {long} THEN {head} ELSE {response} END",
+            "key_points": f"array({_literal(FALLBACK_KEY_POINT)})",
+            "important_terms": _EMPTY_TERMS,
+            "deadlines_obligations": _EMPTY_LIST,
+            "warnings": f"array({_literal(FALLBACK_WARNING)})",
+            "next_steps": f"array({_literal(FALLBACK_NEXT_STEP)})",
+        }
     )
 
 
@@ -230,36 +233,31 @@ def with_structure(df: DataFrame, response: str = "response") -> DataFrame:
     on computed columns is evaluated at the scan and would read every response
     twice.
     """
-    kept = df.columns
-    staged = df.withColumn("_json", json_block(F.col(response)))
-    staged = staged.withColumn("_variant", F.when(F.col("_json") != "", strict_json(F.col("_json"))))
-    staged = staged.withColumn(
-        "_blocks",
-        F.when(F.col("_variant").isNull(), _section_blocks(F.col(response))),
-    )
-    broken = F.exists(
-        F.col("_blocks"),
-        lambda block: (block[0] == "summary")
-        & F.exists(F.slice(block, 2, _ALL), _is_bullet),
+    text = f"`{response}`"
+    broken = (
+        "exists(_blocks, b -> b[0] = 'summary' AND"
+        f" exists(slice(b, 2, {_ALL}), l -> {_is_bullet('l')}))"
     )
-    staged = staged.withColumn(
-        "parse_path",
-        F.when(F.col(response).isNull(), F.lit(None).cast("string"))
-        .when(F.col("_variant").isNotNull(), "json")
-        .when(~broken, "text")
-        .when(F.col("_json") == "", "fallback")
-        .otherwise("error"),
+    path = (
+        f"CASE WHEN {text} IS NULL THEN NULL WHEN _variant IS NOT NULL THEN 'json'"
+        f" WHEN NOT {broken} THEN 'text' WHEN _json = '' THEN 'fallback' ELSE 'error' END"
     )
     record = (
-        F.when(F.col("parse_path") == "json", _json_record(F.col("_variant")))
-        .when(F.col("parse_path") == "text", _text_record(F.col("_blocks")))
-        .when(F.col("parse_path") == "fallback", _fallback_record(F.col(response)))
+        f"CASE parse_path WHEN 'json' THEN {_json_record('_variant')}"
+        f" WHEN 'text' THEN {_text_record('_blocks')}"
+        f" WHEN 'fallback' THEN {_fallback_record(text)} END"
     )
-    staged = staged.withColumn("_record", record)
-    return staged.select(
-        *[F.col(c) for c in kept],
-        "parse_path",
-        *[F.col(f"_record.{name}").alias(name) for name in FIELDS],
+    kept = [F.col(c) for c in df.columns]
+    variant = F.when(F.col("_json") != "", strict_json(F.col("_json")))
+    blocks = F.expr(f"CASE WHEN _variant IS NULL THEN {_section_blocks(text)} END")
+    # Each stage names what the next one uses more than once.
+    return (
+        df.select(*kept, json_block(F.col(response)).alias("_json"))
+        .select("*", variant.alias("_variant"))
+        .select("*", blocks.alias("_blocks"))
+        .select("*", F.expr(path).alias("parse_path"))
+        .select("*", F.expr(record).alias("_record"))
+        .select(*kept, "parse_path", *[F.col(f"_record.{n}").alias(n) for n in FIELDS])
     )
 
 

@@ -80,10 +80,14 @@ def legal_term_count(text: Column) -> Column:
 
 
 def lowered_term_count(lowered: Column) -> Column:
-    total = _occurrences(lowered, LEGAL_TERMS[0])
-    for term in LEGAL_TERMS[1:]:
-        total = total + _occurrences(lowered, term)
-    return total.cast("bigint")
+    """Occurrences in a text already in lower case; every term is ASCII."""
+    terms = F.split(F.lit(" ".join(LEGAL_TERMS)), " ")
+
+    def add(count: Column, term: Column) -> Column:
+        removed = F.octet_length(lowered) - F.octet_length(F.replace(lowered, term, F.lit("")))
+        return count + (removed / F.octet_length(term)).cast("bigint")
+
+    return F.aggregate(terms, F.lit(0).cast("bigint"), add)
 
 
 def _single_spaced_words(trimmed: Column) -> Column:
