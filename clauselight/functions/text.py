@@ -6,6 +6,8 @@ each text is scanned once for whitespace and once for sentences.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def normalise(text: Column, max_chars: int = MAX_PROMPT_CHARS) -> Column:
         cleaned = F.regexp_replace(cleaned, pattern, "")
     # One pattern keeps the text a single subexpression.
     cut = F.regexp_replace(cleaned, r"(?s)^(.{%d}).+$" % max_chars, "$1...")
-    return F.btrim(cut, F.lit(" "))
+    return F.trim(cut)
 
 
 def _occurrences(text: Column, ascii_term: str) -> Column:
@@ -80,14 +82,13 @@ def legal_term_count(text: Column) -> Column:
 
 
 def lowered_term_count(lowered: Column) -> Column:
-    """Occurrences in a text already in lower case; every term is ASCII."""
-    terms = F.split(F.lit(" ".join(LEGAL_TERMS)), " ")
-
-    def add(count: Column, term: Column) -> Column:
-        removed = F.octet_length(lowered) - F.octet_length(F.replace(lowered, term, F.lit("")))
-        return count + (removed / F.octet_length(term)).cast("bigint")
+    """Occurrences in a text already in lower case.
 
-    return F.aggregate(terms, F.lit(0).cast("bigint"), add)
+    Each term is a search of its own: terms are counted independently, and a
+    plain literal lets the search skip ahead instead of reading every character.
+    """
+    counts = [F.regexp_count(lowered, F.lit(term)) for term in LEGAL_TERMS]
+    return reduce(Column.__add__, counts).cast("bigint")
 
 
 def _single_spaced_words(trimmed: Column) -> Column:
@@ -102,8 +103,15 @@ def word_count(text: Column) -> Column:
 
 
 def _is_complex(sentence: Column) -> Column:
-    words = _single_spaced_words(F.btrim(sentence, F.lit(" ")))
-    return (words > LONG_SENTENCE_WORDS) | (_occurrences(sentence, ",") > MANY_COMMAS)
+    """Whether a piece of a collapsed text is long or heavy with commas."""
+    size = F.octet_length(sentence)
+    gaps = _occurrences(sentence, " ")
+    outer = F.startswith(sentence, F.lit(" ")).cast("int") + F.endswith(
+        sentence, F.lit(" ")
+    ).cast("int")
+    # n words take n - 1 gaps and at least 2n - 1 bytes; most pieces are shorter.
+    long = (size > 2 * LONG_SENTENCE_WORDS) & (gaps - outer >= LONG_SENTENCE_WORDS)
+    return long | ((size > MANY_COMMAS) & (_occurrences(sentence, ",") > MANY_COMMAS))
 
 
 def complex_sentence_count(text: Column) -> Column:
@@ -125,7 +133,7 @@ def with_text_measures(df: DataFrame, text: str = "text", prefix: str = "") -> D
     staged = df.withColumn("_flat", collapse(F.col(text)))
     staged = staged.withColumns(
         {
-            "_trimmed": F.btrim(F.col("_flat"), F.lit(" ")),
+            "_trimmed": F.trim("_flat"),
             "_segments": F.split("_flat", SENTENCE_END),
         }
     )
