@@ -355,6 +355,26 @@ def job4_events(spark, sf_dir):
     )
 
 
+# What a model might say: the turns of the conversations, some of them blank.
+_SAID = "CASE WHEN role = 'user' THEN ' ' || text || chr(10) WHEN turn % 4 = 1 THEN '  ' ELSE text END"
+
+
+@query(
+    "fn18_answer_confidence",
+    f"""SELECT conv_id, turn, regexp_replace(said, '^\\s+|\\s+$', '', 'g') AS answer,
+  CASE WHEN regexp_replace(said, '^\\s+|\\s+$', '', 'g') <> '' THEN 0.7 ELSE 0.3 END AS confidence_score
+FROM (SELECT conv_id, turn, {_SAID} AS said FROM conversations) c""",
+)
+def fn18(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_SAID} AS said")
+    return said.select(
+        "conv_id",
+        "turn",
+        prompts.answer(F.col("said")).alias("answer"),
+        prompts.answer_confidence(F.col("said")).alias("confidence_score"),
+    )
+
+
 def _prompt_sql() -> str:
     def table_case(column: str, values: dict, default: str) -> str:
         arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items())

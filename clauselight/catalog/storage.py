@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from clauselight.catalog import query, rounded, storage_check
+from clauselight.functions import report
 from clauselight.operators import keyed, storage
 from clauselight.sources.adapters import (
     METADATA_SQL,
@@ -68,6 +69,33 @@ def agg10(spark, sf_dir):
     return storage.user_uploads(document_metadata(spark, sf_dir))
 
 
+@query(
+    "flt5_owned_documents",
+    storage_check("SELECT document_id, user_id, file_size FROM document_metadata WHERE user_id IS NOT NULL"),
+)
+def flt5(spark, sf_dir):
+    owned = storage.owned(document_metadata(spark, sf_dir))
+    return owned.select("document_id", "user_id", "file_size")
+
+
+@query(
+    "fn21_confidence_percent",
+    storage_check("""
+SELECT document_id, CAST(floor(confidence_score * 100 + 0.5) AS BIGINT) AS confidence_percent,
+  CAST(CASE WHEN word_count_original > 0 THEN
+    floor((1 - word_count_simplified / word_count_original) * 100 + 0.5) END AS BIGINT) AS reduction_percent
+FROM processing_results"""),
+)
+def fn21(spark, sf_dir):
+    return processing_results(spark, sf_dir).select(
+        "document_id",
+        report.confidence_percent(F.col("confidence_score")).alias("confidence_percent"),
+        report.reduction_percent(
+            F.col("word_count_original"), F.col("word_count_simplified")
+        ).alias("reduction_percent"),
+    )
+
+
 @query(
     "jn1_results_with_metadata",
     storage_check("""

@@ -69,7 +69,7 @@ def snk3(spark, sf_dir):
 
 
 @query(
-    "snk4_simplified_json",
+    "src5_snk4_simplified_json",
     _SIMPLIFIED_SQL
     + """SELECT CAST(doc_id AS VARCHAR) AS document_id, summary, array_to_string(key_points, '|') AS key_points,
   terms, confidence_score, CAST(word_count_original AS BIGINT) AS word_count_original,

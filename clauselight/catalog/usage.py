@@ -162,3 +162,39 @@ GROUP BY 1, 2, 3 HAVING count(*) > {QUOTA}"""),
 )
 def str4(spark, sf_dir):
     return usage.quota_violations(usage_analytics(spark, sf_dir), limit=QUOTA)
+
+
+@query(
+    "flt3_uploads_with_file_type",
+    usage_check("""
+SELECT document_id, user_id, timestamp, json_extract_string(metadata, '$.file_type') AS file_type
+FROM usage_analytics
+WHERE action = 'document_upload' AND json_extract_string(metadata, '$.file_type') IS NOT NULL"""),
+)
+def flt3(spark, sf_dir):
+    return usage.typed_uploads(usage_analytics(spark, sf_dir)).select(
+        "document_id", "user_id", "timestamp", "file_type"
+    )
+
+
+@query(
+    "flt4_processing_with_level",
+    usage_check("""
+SELECT document_id, timestamp, simplification_level, confidence_score FROM usage_analytics
+WHERE action = 'document_processing' AND simplification_level IS NOT NULL"""),
+)
+def flt4(spark, sf_dir):
+    return usage.levelled_processing(usage_analytics(spark, sf_dir)).select(
+        "document_id", "timestamp", "simplification_level", "confidence_score"
+    )
+
+
+@query(
+    "flt6_last_day_events",
+    usage_check(f"""
+SELECT document_id, action, timestamp FROM usage_analytics
+WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL '24' HOUR"""),
+)
+def flt6(spark, sf_dir):
+    recent = usage.recent(usage_analytics(spark, sf_dir), AS_OF)
+    return recent.select("document_id", "action", "timestamp")

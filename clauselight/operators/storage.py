@@ -98,10 +98,15 @@ def daily_processing(results: DataFrame) -> DataFrame:
     )
 
 
+def owned(metadata: DataFrame) -> DataFrame:
+    """Documents that belong to a user."""
+    return metadata.filter(F.col("user_id").isNotNull())
+
+
 def user_uploads(metadata: DataFrame) -> DataFrame:
     """Uploads and stored bytes per user, most active first."""
     return (
-        metadata.filter(F.col("user_id").isNotNull())
+        owned(metadata)
         .groupBy("user_id")
         .agg(
             F.count("*").alias("documents_uploaded"),

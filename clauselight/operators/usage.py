@@ -148,25 +148,36 @@ def performance_metrics(
     return daily_metrics(kept, exact=exact).orderBy("date")
 
 
-def popular_document_types(events: DataFrame) -> DataFrame:
-    """Uploads by file type named in the event's JSON, most frequent first."""
+def typed_uploads(events: DataFrame) -> DataFrame:
+    """Uploads whose JSON names a file type, with that type and the file size."""
     file_type = F.get_json_object("metadata", "$.file_type")
     file_size = F.get_json_object("metadata", "$.file_size").try_cast("double")
+    return events.filter(
+        (F.col("action") == "document_upload") & file_type.isNotNull()
+    ).withColumns({"file_type": file_type, "metadata_file_size": file_size})
+
+
+def popular_document_types(events: DataFrame) -> DataFrame:
+    """Uploads by file type named in the event's JSON, most frequent first."""
     return (
-        events.filter((F.col("action") == "document_upload") & file_type.isNotNull())
-        .select(file_type.alias("file_type"), file_size.alias("_size"))
+        typed_uploads(events)
         .groupBy("file_type")
-        .agg(F.count("*").alias("count"), F.avg("_size").alias("average_file_size"))
+        .agg(F.count("*").alias("count"), F.avg("metadata_file_size").alias("average_file_size"))
         .orderBy(F.desc("count"), "file_type")
     )
 
 
+def levelled_processing(events: DataFrame) -> DataFrame:
+    """Processing events that name a level."""
+    return events.filter(
+        (F.col("action") == "document_processing") & F.col("simplification_level").isNotNull()
+    )
+
+
 def simplification_effectiveness(events: DataFrame) -> DataFrame:
     """Processing events by level, most frequent first."""
     return (
-        events.filter(
-            (F.col("action") == "document_processing") & F.col("simplification_level").isNotNull()
-        )
+        levelled_processing(events)
         .groupBy("simplification_level")
         .agg(
             F.count("*").alias("count"),
@@ -178,13 +189,18 @@ def simplification_effectiveness(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_requests(events: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
-    """Request count and mean processing time since ``hours`` before ``as_of``."""
+def recent(events: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
+    """Events since ``hours`` before ``as_of``."""
     since = instant(events, "timestamp", as_of - timedelta(hours=hours))
-    recent = events.filter(F.col("timestamp") >= since)
+    kept = events.filter(F.col("timestamp") >= since)
     if "event_date" in events.columns:
-        recent = recent.filter(F.col("event_date") >= since.cast("date"))
-    return recent.agg(
+        kept = kept.filter(F.col("event_date") >= since.cast("date"))
+    return kept
+
+
+def recent_requests(events: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
+    """Request count and mean processing time since ``hours`` before ``as_of``."""
+    return recent(events, as_of, hours).agg(
         F.count("*").alias("total_requests"),
         F.avg("processing_time").alias("average_processing_time"),
     )
