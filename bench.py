@@ -50,6 +50,15 @@ def run(query, spark, sf_dir) -> float:
     return time.perf_counter() - start
 
 
+def _scale(sf_dir: str) -> float | str:
+    """The scale factor a folder is named after, or the name itself."""
+    name = Path(sf_dir).name.removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     from clauselight.catalog import load
 
@@ -79,7 +88,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": Path(sf_dir).name.removeprefix("sf"),
+                "sf": _scale(sf_dir),
             }
         )
     )

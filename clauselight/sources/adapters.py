@@ -32,6 +32,10 @@ USAGE_EXPRS = [
     "CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN 'rated ' || CAST(k AS STRING) END AS user_feedback",
 ]
 
+STATUS = (
+    "CASE WHEN doc_id % 10 = 9 THEN 'failed' WHEN doc_id % 10 = 8 THEN 'uploaded' ELSE 'completed' END"
+)
+
 METADATA_EXPRS = [
     "CAST(doc_id AS STRING) AS document_id",
     "'doc_' || CAST(doc_id AS STRING) || '.' || CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'doc'"
@@ -42,7 +46,7 @@ METADATA_EXPRS = [
     "CAST('2024-01-01 00:00:00' AS TIMESTAMP) + doc_id * INTERVAL '1' MINUTE AS upload_timestamp",
     "CASE WHEN doc_id % 10 < 8 THEN CAST('2024-01-02 00:00:00' AS TIMESTAMP) + doc_id * INTERVAL '2' MINUTE"
     " END AS processing_timestamp",
-    "CASE WHEN doc_id % 10 = 9 THEN 'failed' WHEN doc_id % 10 = 8 THEN 'uploaded' ELSE 'completed' END AS status",
+    f"{STATUS} AS status",
     "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'user_' || CAST(doc_id % 50 AS STRING) END AS user_id",
     "CASE doc_id % 5 WHEN 0 THEN 'pdfplumber' WHEN 1 THEN 'python-docx' WHEN 2 THEN 'python-docx'"
     " WHEN 3 THEN 'ocr' END AS extraction_method",
@@ -52,8 +56,8 @@ METADATA_EXPRS = [
     "CAST(NULL AS STRING) AS processed_path",
 ]
 
-# A document is processed when the metadata view calls it completed.
-RESULTS_FILTER = "doc_id % 10 < 8"
+# Only completed documents have results.
+RESULTS_FILTER = f"{STATUS} = 'completed'"
 RESULTS_EXPRS = [
     "CAST(doc_id AS STRING) AS document_id",
     "CAST('2024-01-02 00:00:00' AS TIMESTAMP) + doc_id * INTERVAL '2' MINUTE AS processing_timestamp",
