@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from clauselight import schemas
 from clauselight.functions import report
 
-# Tasks a single day is spread over when events are appended.
-DAY_PARTS = 64
 # JSON keeps every field, and times to the microsecond.
 JSON_OPTIONS = {
     "ignoreNullFields": "false",
@@ -27,18 +25,13 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append events, one folder per day.
 
-    Rows are gathered by day and, within a day, spread over several tasks, so a
-    busy day is neither one file per task nor one task.
+    Rows are gathered by day, so a task writes few files. The rebalancing is
+    adaptive: small days share a task and a day with many events is split over
+    several.
     """
-    rows = conform(events, "usage_analytics").withColumns(
-        {
-            "event_date": F.to_date("timestamp"),
-            "_part": F.pmod(F.xxhash64("document_id", "timestamp"), F.lit(DAY_PARTS)),
-        }
-    )
+    rows = conform(events, "usage_analytics").withColumn("event_date", F.to_date("timestamp"))
     (
-        rows.hint("rebalance", "event_date", "_part")
-        .drop("_part")
+        rows.hint("rebalance", "event_date")
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(path)
