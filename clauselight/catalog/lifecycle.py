@@ -10,6 +10,7 @@ from clauselight.catalog.storage import delete_set
 from clauselight.catalog.text import READING, WS, measures_check, normalised_check
 from clauselight.functions import prompts
 from clauselight.operators import batch, intake
+from clauselight.operators.skew import salted_join
 from clauselight.plans import lifecycle
 from clauselight.sources.adapters import METADATA_SQL, document_metadata, documents, table, texts
 
@@ -436,7 +437,7 @@ FROM answered WHERE found""",
 )
 def fn17(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr(*_QUESTIONS)
-    joined = asked.join(texts(spark, sf_dir), "document_id")
+    joined = salted_join(asked, texts(spark, sf_dir), "document_id", "inner")
     audience = F.lit(prompts.DEFAULT_AUDIENCE)
     prompt = prompts.question_prompt(F.col("text"), F.col("question"), audience)
     return joined.select("question_id", prompt.alias("prompt"))
