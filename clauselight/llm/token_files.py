@@ -1,7 +1,8 @@
 """Token ids as Arrow files of equal-length sequences and masks.
 
-A file holds record batches with two fixed-size-list columns: ``ids`` (unsigned
-32-bit) and ``mask`` (1 for an id, 0 for padding). Its footer places each batch,
+A file holds record batches with two fixed-size-list columns: ``ids`` (unsigned,
+16 bits where the vocabulary fits, else 32) and ``mask`` (a bit, set for an id and
+not for padding). Its footer places each batch,
 so a reader maps the file and takes any sequence without a copy. Documents run
 through the sequences of a file in order; a Parquet index says where each one lies.
 """
@@ -30,18 +31,18 @@ END_ID = 2
 INDEX_SCHEMA = "doc_id long, file string, file_no int, row_no long, at long, n_tokens long"
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema(
-        [("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))]
-    )
+def _schema(length: int, id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceFile:
     """Writes ids into equal-length sequences, one batch in memory at a time."""
 
-    def __init__(self, sink, length: int):
+    def __init__(self, sink, length: int, largest_id: int):
         self.length, self.room = length, length * SEQUENCES_PER_BATCH
-        self.writer = pa.ipc.new_file(sink, _schema(length))
+        self.dtype = np.dtype("<u2" if largest_id < 1 << 16 else "<u4")
+        self.schema = _schema(length, pa.from_numpy_dtype(self.dtype))
+        self.writer = pa.ipc.new_file(sink, self.schema)
         self.held: list[bytes] = []
         self.n_held = 0
 
@@ -56,12 +57,12 @@ class SequenceFile:
             self.held, self.n_held = [values[full:].tobytes()], len(values) - full
 
     def _batch(self, values: np.ndarray, room: int) -> None:
-        ids, mask = np.zeros(room, np.uint32), np.zeros(room, np.uint8)
-        ids[: len(values)], mask[: len(values)] = values, 1
+        ids, mask = np.zeros(room, self.dtype), np.zeros(room, bool)
+        ids[: len(values)], mask[: len(values)] = values, True
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)
         ]
-        self.writer.write_batch(pa.record_batch(columns, schema=_schema(self.length)))
+        self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         values = np.frombuffer(b"".join(self.held), "<u4")
@@ -86,12 +87,13 @@ class SequenceReader:
             self.last = i, self.file.get_batch(i)
         return self.last[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i`` as views of the file."""
         b, row = divmod(i, SEQUENCES_PER_BATCH)
-        ids, mask = (self._batch(b).column(c) for c in ("ids", "mask"))
-        at = slice(row * self.length, (row + 1) * self.length)
-        return tuple(x.values.to_numpy(zero_copy_only=True)[at] for x in (ids, mask))
+        ids, mask = (self._batch(b).column(c).values for c in ("ids", "mask"))
+        at = row * self.length
+        view = ids.slice(at, self.length).to_numpy(zero_copy_only=True)
+        return view, mask.slice(at, self.length)
 
     def pieces(self, at: int, n: int) -> Iterator[np.ndarray]:
         """The ``n`` ids from position ``at``, in views of one batch each."""
@@ -127,7 +129,9 @@ def write(
         first = next(batches, None)
         if first is None:
             return
-        encode = encoder(tokenizer).encode
+        coder = encoder(tokenizer)
+        encode = coder.encode
+        largest = max(end_id, coder.tokenizer.get_vocab_size() - 1)
         end = np.array([end_id], "<u4").tobytes()
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
@@ -135,7 +139,7 @@ def write(
         own = f"{root}/.{name}.{uuid.uuid4().hex}"
         at = row_no = 0
         with fs.open_output_stream(own) as sink:
-            file = SequenceFile(sink, length)
+            file = SequenceFile(sink, length, largest)
             batch = first
             while batch is not None:
                 sizes, places = [], []
@@ -197,7 +201,7 @@ def read_digests(index: DataFrame) -> DataFrame:
                     opened = file, SequenceReader(file)
                 crc = 0
                 for view in opened[1].pieces(at, n):
-                    crc = zlib.crc32(view, crc)
+                    crc = zlib.crc32(view.astype("<u4"), crc)
                 sums.append(crc)
             yield pa.record_batch(
                 [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
