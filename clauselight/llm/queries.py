@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselight.llm import packing, token_files
+from clauselight.llm import near_dedup, packing, token_files
 from clauselight.session import configure, new_path
 
 QUERIES = {}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op4_tensored_minhash")
+def op4(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mixture_packing")
 def op5(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
