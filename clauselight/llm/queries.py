@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauselight.llm import near_dedup, packing, token_files
+from clauselight.llm import decontamination, language_id, near_dedup, packing, token_files
 from clauselight.session import configure, new_path
 
 QUERIES = {}
@@ -40,3 +41,21 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     folder = new_path(spark, "token-files")
     return token_files.token_table(spark, table(spark, sf_dir, "documents"), folder)
+
+
+@query("op9_fm_index_decontamination")
+def op9(spark, sf_dir):
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "spans")
+
+
+def held_out():
+    """Documents kept from learning: a third by the checksum of the id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op3_rank_order_profiles")
+def op3(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = language_id.identify(documents, documents.filter(~held_out()).select("lang", "text"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
