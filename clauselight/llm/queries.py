@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselight.llm import decontamination, language_id, near_dedup, packing, token_files
+from clauselight.llm import decontamination, language_id, near_dedup, packing, perplexity, token_files
 from clauselight.session import configure, new_path
 
 QUERIES = {}
@@ -59,3 +59,11 @@ def op3(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     found = language_id.identify(documents, documents.filter(~held_out()).select("lang", "text"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_perplexity_bands")
+def op10(spark, sf_dir):
+    return perplexity.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "log_perplexity", "lang",
+    )
