@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselight.llm import decontamination, language_id, near_dedup, packing, perplexity, token_files
+from clauselight.llm import chat_format, checks, decontamination, language_id, near_dedup, packing, perplexity, secret_scan, token_files
 from clauselight.session import configure, new_path
 
 QUERIES = {}
@@ -67,3 +67,20 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "log_perplexity", "lang",
     )
+
+
+@query("op1_perspective_rotation", checks.OP1)
+def op1(spark, sf_dir):
+    return chat_format.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op2_blob_ledger_secrets", checks.secrets())
+def op2(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), new_path(spark, "secret-ledger"))
+    text = secret_scan.as_text(F.col("spans"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}")
+        for r in secret_scan.BASE_RULES
+    ]
+    return found.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
