@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselight.llm import chat_format, checks, decontamination, language_id, near_dedup, packing, perplexity, secret_scan, token_files
+from clauselight.llm import chat_format, checks, decontamination, html_text, language_id, near_dedup, ordinal, packing, perplexity, secret_scan, token_files
 from clauselight.session import configure, new_path
 
 QUERIES = {}
@@ -84,3 +84,15 @@ def op2(spark, sf_dir):
         for r in secret_scan.BASE_RULES
     ]
     return found.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+
+
+@query("op6_ordinal_quality")
+def op6(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = ordinal.train(documents, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.grade(documents, model)
+
+
+@query("op8_block_tree_text")
+def op8(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
