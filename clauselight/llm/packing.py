@@ -222,6 +222,11 @@ def pack(
         "part", "queue", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
 
+    # As a table its size is known: ids are not shuffled to meet a small one.
+    bases_path = new_path(spark, "packing-bases")
+    bases.write.parquet(bases_path)
+    bases = spark.read.schema(bases.schema).parquet(bases_path)
+
     def pieces(batches):
         for batch in batch_rows(batches):
             out = [[] for _ in range(9)]

@@ -96,3 +96,10 @@ def op6(spark, sf_dir):
 @query("op8_block_tree_text")
 def op8(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -173,6 +173,8 @@ def redact(documents: DataFrame, ledger: str, **options) -> DataFrame:
         found.filter(F.size("spans") > 0).groupBy("blob").agg(F.any_value("spans").alias("_spans"))
         .select(F.col("blob").alias("_blob"), "_spans")
     )
+    # As a table its size is known: texts are not shuffled to meet a small one.
+    secrets = _stored(secrets, new_path(documents.sparkSession, "secrets"))
 
     def step(state: Column, s: Column) -> Column:
         start = F.greatest(s["start"], state["at"])
