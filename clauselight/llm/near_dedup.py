@@ -8,8 +8,9 @@ length would take COLLECTION squared * 2 * ROWS.
 
 At a similarity of 0.75 a pair meets in some table with probability 0.9995, and
 on average in 32 of the 100. Tables name a leader per bucket, so candidates grow
-with the members, not with their pairs; buckets that the confirmed links leave
-in several components are gone through in full afterwards.
+with the members, not with their pairs. Buckets that the confirmed links leave in
+several components are gone through afterwards by their rarest shingles, which
+is exact and emits no pairs for a passage that many documents share.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clauselight.llm.components import components
 from clauselight.llm.words import batch_rows, hashed, mix, space_words, utf8, windows
@@ -165,12 +167,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .distinct()
     )
     to_leader = _stored(to_leader, "leader-pairs")
-    members = buckets.select("doc_id").distinct()
+    # As a table its size is known: texts are not shuffled to meet a small one.
+    members = _stored(buckets.select("doc_id").distinct(), "members")
     sets = _stored(_sets(documents, members).dropDuplicates(["doc_id"]), "sets")
     links = _stored(_confirmed(to_leader, sets), "links")
     named = components(links)
 
-    rest = _stored(_left_over(buckets, named, classes, to_leader), "other-pairs")
+    rest = _stored(_left_over(buckets, named, sets, to_leader), "other-pairs")
     more = _confirmed(rest, sets)
     named = components(links.union(more))
 
@@ -190,44 +193,44 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def _left_over(
-    buckets: DataFrame, named: DataFrame, classes: DataFrame, done: DataFrame
-) -> DataFrame:
-    """Pairs that share a table, lie in different components and were not compared.
+def _left_over(buckets: DataFrame, named: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs from buckets in more than one component that may yet be similar.
 
-    Only buckets in more than one component are gone through. A pair is taken
-    at the first table the two share, if its sizes allow the similarity.
+    Sets as similar as asked share one of their rarest shingles: of ``n`` in one
+    order of rarity, one of the first ``n - ceil(0.75 n) + 1``. So members that
+    meet through a common passage only are never paired, and shingles that lie
+    in one component need no comparison. This loses no link.
     """
     named = named.select(F.col("node").alias("doc_id"), "component")
     labelled = buckets.select("key", "doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
-    split = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high")
-        .select("key")
-    )
-    # Sizes within the similarity lie in the same or the next size class.
-    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(100 / SIMILARITY))).cast("int")
-    open_rows = _stored(
-        labelled.join(split, "key", "left_semi").withColumn("size_class", size_class), "open-buckets"
+    span = [F.min("component").alias("low"), F.max("component").alias("high")]
+    split = labelled.groupBy("key").agg(*span).filter("low < high").select("key")
+    open_members = labelled.join(split, "key", "left_semi").drop("key").distinct()
+    grams = _stored(
+        open_members.join(sets, "doc_id").withColumn("gram", F.explode("grams")).drop("grams"), "open-grams"
     )
-    right = open_rows.select(
-        "key", "size_class", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "component"))
-    )
-    left = open_rows.select(
-        "key", "doc_id", "n_shingles", "component",
-        F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"),
-    )
-    # One order within a pair: the smaller set first, equal sets by id.
-    ordered = (F.col("n_shingles") < F.col("n_shingles_b")) | (
-        (F.col("n_shingles") == F.col("n_shingles_b")) & (F.col("doc_id") < F.col("doc_id_b"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("n"), *span)
+    by_rarity = Window.partitionBy("doc_id").orderBy("n", "gram")
+    needed = F.floor((F.col("n_shingles") * SIMILARITY + 99) / 100)
+    first = (
+        grams.join(rarity, "gram")
+        .withColumn("place", F.row_number().over(by_rarity))
+        .filter(F.col("place") <= F.col("n_shingles") - needed + 1)
+        .filter("low < high")
+        .select("gram", "doc_id", "n_shingles", "component", "place")
     )
-    found = left.join(right, ["key", "size_class"]).filter(
-        ordered
+    first = _stored(first, "open-prefixes")
+    other = first.select("gram", *(F.col(c).alias(f"{c}_b") for c in first.columns[1:]))
+    # What two sets of these sizes have to share leaves each still fewer first places.
+    share = F.ceil((F.col("n_shingles") + F.col("n_shingles_b")) * SIMILARITY / (100 + SIMILARITY))
+    found = first.join(other, "gram").filter(
+        (F.col("place") <= F.col("n_shingles") - share + 1)
+        & (F.col("place_b") <= F.col("n_shingles_b") - share + 1)
+        & (F.col("doc_id") < F.col("doc_id_b"))
         & (F.col("component") != F.col("component_b"))
-        & (100 * F.col("n_shingles") >= SIMILARITY * F.col("n_shingles_b"))
+        & _sizes_allow(F.col("n_shingles"), F.col("n_shingles_b"))
     )
-    pairs = found.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b"))
+    pairs = found.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
     return pairs.distinct().join(done, ["a", "b"], "left_anti")
