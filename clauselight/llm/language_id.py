@@ -38,7 +38,7 @@ def _has_letter(words: list[str]) -> bool:
 
 _gram_hash = Memo(lambda gram: xxhash.xxh32_intdigest(gram.encode("utf-8", "replace")))
 _word_hashes = Memo(
-    lambda word: np.array([_gram_hash[g] for g in _grams(word)], "<u4").tobytes(), 300_000
+    lambda word: np.array([_gram_hash[g] for g in _grams(word)], "<u4").tobytes(), 150_000
 )
 
 

@@ -21,7 +21,7 @@ from clauselight.llm.words import Memo, batch_rows
 GRADES = 3
 BITS = 18
 # Labelled documents learned from: a bounded sample, spread by a hash of the id.
-SAMPLE = 20_000
+SAMPLE = 10_000
 LEAST_DOCUMENTS = 5  # a feature must occur in, to have a weight
 STEPS = 250
 RATE = 0.05
@@ -48,12 +48,12 @@ def _shape(pieces: list[str], words: list[str]) -> list[str]:
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed features of a whole text: pieces, ends of words in capitals, measures."""
     if not text:
-        return np.array([_index["\0empty"]], np.int64)
+        return np.array([_index["\0empty"]], np.int32)
     pieces = _PIECE.findall(text)
     words = text.lower().split()
     found = {_index[p] for p in set(map(str.lower, set(pieces)))}
     found.update(_index[s] for s in _shape(pieces, words))
-    return np.fromiter(sorted(found), np.int64, len(found))
+    return np.fromiter(sorted(found), np.int32, len(found))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def train(documents: DataFrame, ratings: DataFrame, *, sample: int = SAMPLE) ->
         for batch in batch_rows(batches):
             found = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))],
                 names=["doc_id", "grade", "found"],
             )
 
@@ -140,7 +140,7 @@ def train(documents: DataFrame, ratings: DataFrame, *, sample: int = SAMPLE) ->
     learned = (
         rows.join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "grade", "text")
-        .mapInArrow(describe, "doc_id long, grade int, found array<long>")
+        .mapInArrow(describe, "doc_id long, grade int, found array<int>")
         .orderBy("doc_id", "grade", "found")
         .limit(sample)
         .toArrow()

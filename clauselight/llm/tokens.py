@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 
 from clauselight.llm.words import Memo
 
-# Chunks a worker remembers: about 200 MB.
-MEMO_CHUNKS = 1_000_000
+# Chunks a worker remembers: about 90 MB.
+MEMO_CHUNKS = 400_000
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")

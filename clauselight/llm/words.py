@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Entries a worker keeps per memo before it starts anew.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 150_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -70,7 +70,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def batch_rows(
-    batches: Iterator[pa.RecordBatch], bytes_per_slice: int = 16 << 20
+    batches: Iterator[pa.RecordBatch], bytes_per_slice: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded bytes, so that long texts don't pile up."""
     for batch in batches:
