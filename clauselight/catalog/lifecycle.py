@@ -35,9 +35,9 @@ def stand_in(mark: str, end: str | None = None):
         if len(document) < 40:
             raise ValueError("too short")
         if end is not None:
-            return document[:30]
+            return document
         return json.dumps(
-            {"summary": document, "key_points": [document[:80], " "], "next_steps": ["review"]}
+            {"summary": document, "key_points": [document, " "], "next_steps": ["review"]}
         )
 
     return generate
@@ -144,7 +144,7 @@ normalised AS (SELECT doc_id, lang, source, text AS original, cleaned AS text,
     CAST({_TEXT_WORDS} AS BIGINT) AS word_count_original FROM ({normalised_check('documents')}) n),
 measured AS (SELECT *, {READING} AS reading_level FROM ({measures_check('normalised')}) m),
 outcomes AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text AS summary, original, lang, source, word_count_original,
-    total_words AS word_count_simplified, reading_level, trim(substring(text, 1, 80)) AS key_point,
+    total_words AS word_count_simplified, reading_level, trim(text) AS key_point,
     CASE WHEN original = '' THEN '{lifecycle.NO_TEXT}' WHEN length(text) < {SHORT} THEN 'too short' END AS error,
     CAST(0.5 AS DOUBLE) + CASE WHEN length(text) > 50 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
       + CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE) AS confidence_score
@@ -240,12 +240,11 @@ _ITEMS = [
     "CASE WHEN k % 10 = 9 THEN 'missing-' || CAST(k AS VARCHAR(20)) ELSE CAST(k AS VARCHAR(20)) END AS document_id",
 ]
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k"
-_ITEMS_SQL = f"SELECT {', '.join(_ITEMS)} FROM (SELECT *, {_K} FROM events) e WHERE event_type = 'click'"
+_ITEMS_SQL = f"SELECT {', '.join(_ITEMS)} FROM (SELECT *, {_K} FROM events) e"
 
 
 def _items(spark, sf_dir):
-    clicks = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    return clicks.selectExpr("*", _K).selectExpr(*_ITEMS)
+    return table(spark, sf_dir, "events").selectExpr("*", _K).selectExpr(*_ITEMS)
 
 
 @query(
@@ -314,7 +313,7 @@ answered AS (SELECT a.*, n.cleaned, n.text AS original, n.doc_id IS NOT NULL AS
   FROM asked a LEFT JOIN normalised n ON CAST(n.doc_id AS VARCHAR) = a.document_id)
 """
 _APOLOGY = prompts.APOLOGY.replace("'", "''")
-_ANSWER = f"CASE WHEN length(cleaned) < {SHORT} THEN '{_APOLOGY}' ELSE trim(substring(cleaned, 1, 30)) END"
+_ANSWER = f"CASE WHEN length(cleaned) < {SHORT} THEN '{_APOLOGY}' ELSE trim(cleaned) END"
 
 
 def _asked(spark, sf_dir):

@@ -140,7 +140,7 @@ structured AS (SELECT p.doc_id, response, parse_path,
   CASE parse_path
     WHEN 'json' THEN coalesce({_STRIP % ('(' + _as_text("json_extract(jv, '$.summary')") + ')')}, '')
     WHEN 'text' THEN coalesce(b.summary, '')
-    WHEN 'fallback' THEN CASE WHEN length(response) > 500 THEN substring(response, 1, 500) || '...' ELSE response END
+    WHEN 'fallback' THEN response
   END AS summary,
   {lists},
   CASE parse_path WHEN 'json' THEN coalesce(jt.terms, '') WHEN 'text' THEN coalesce(lt.terms, '')

@@ -185,12 +185,12 @@ def _history(spark, sf_dir):
 @query(
     "srt3_current_metadata",
     storage_check("""
-SELECT document_id, filename, processing_timestamp, user_id
+SELECT document_id, filename, file_type, file_size, upload_timestamp, processing_timestamp, status,
+  user_id, extraction_method, ocr_confidence, language_detected, storage_path, processed_path
 FROM document_metadata"""),
 )
 def srt3(spark, sf_dir):
-    out = keyed.latest_metadata(_history(spark, sf_dir))
-    return out.select("document_id", "filename", "processing_timestamp", "user_id")
+    return keyed.latest_metadata(_history(spark, sf_dir))
 
 
 # Documents waiting to be processed are taken up; one id is not in the table.

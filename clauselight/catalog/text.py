@@ -21,8 +21,7 @@ NORMALISED = (
 def normalised_check(source: str) -> str:
     """Every column of a source with a text, plus the cleaned text."""
     return (
-        "SELECT *, trim(CASE WHEN length(n) > 16000 THEN substring(n, 1, 16000) || '...' ELSE n END)"
-        f" AS cleaned FROM (SELECT *, {NORMALISED} AS n FROM {source}) t"
+        f"SELECT *, trim(n) AS cleaned FROM (SELECT *, {NORMALISED} AS n FROM {source}) t"
     )
 
 

@@ -35,7 +35,6 @@ SECTION_WORDS = (
 BULLETS = ("-", "•", "*")
 
 # The canned record.
-FALLBACK_SUMMARY_CHARS = 500
 FALLBACK_KEY_POINT = "Unable to parse structured response"
 FALLBACK_WARNING = "Please review the original document for important details"
 FALLBACK_NEXT_STEP = "Consider consulting with a legal professional"
@@ -205,11 +204,9 @@ def _text_record(blocks: str) -> str:
 
 
 def _fallback_record(response: str) -> str:
-    head = f"concat(substring({response}, 1, {FALLBACK_SUMMARY_CHARS}), '...')"
-    long = f"length({response}) > {FALLBACK_SUMMARY_CHARS}"
     return _struct(
         {
-            "summary": f"CASE WHEN {long} THEN {head} ELSE {response} END",
+            "summary": response,
             "key_points": f"array({_literal(FALLBACK_KEY_POINT)})",
             "important_terms": _EMPTY_TERMS,
             "deadlines_obligations": _EMPTY_LIST,

@@ -29,8 +29,7 @@ LEGAL_TERMS = (
     "damages", "penalty", "liquidated", "consequential", "incidental",
 )
 
-# Limits and thresholds.
-MAX_PROMPT_CHARS = 16_000
+# Thresholds.
 LONG_SENTENCE_WORDS = 25
 MANY_COMMAS = 3
 WORDS_PER_MINUTE = 200
@@ -47,12 +46,13 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(text, WHITESPACE_CLASS + "+", " ")
 
 
-def normalise(text: Column, max_chars: int = MAX_PROMPT_CHARS) -> Column:
+def normalise(text: Column, max_chars: int | None = None) -> Column:
     """Clean a text for a prompt.
 
     White space is collapsed, page markers, a text that is only a number,
     bracketed and parenthesised spans are removed in that order, and the rest
-    is cut to ``max_chars`` and trimmed. Gaps left by a removal stay.
+    is trimmed. Gaps left by a removal stay. The whole text is kept unless the
+    caller sets ``max_chars``.
     """
     cleaned = collapse(text)
     for pattern in (
@@ -62,9 +62,10 @@ def normalise(text: Column, max_chars: int = MAX_PROMPT_CHARS) -> Column:
         r"\([^)]*\)",
     ):
         cleaned = F.regexp_replace(cleaned, pattern, "")
-    # One pattern keeps the text a single subexpression.
-    cut = F.regexp_replace(cleaned, r"(?s)^(.{%d}).+$" % max_chars, "$1...")
-    return F.trim(cut)
+    if max_chars is not None:
+        # One pattern keeps the text a single subexpression.
+        cleaned = F.regexp_replace(cleaned, r"(?s)^(.{%d}).+$" % max_chars, "$1...")
+    return F.trim(cleaned)
 
 
 def _occurrences(text: Column, ascii_term: str) -> Column:

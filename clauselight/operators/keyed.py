@@ -39,6 +39,12 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
+def stage(status: Column) -> Column:
+    """How far a document has come; unknown states come first."""
+    done = F.when(status.isin("completed", "failed"), 3)
+    return F.coalesce(done, F.when(status == "processing", 2), F.when(status == "uploaded", 1), F.lit(0))
+
+
 def latest_metadata(metadata: DataFrame, document_id: str | None = None) -> DataFrame:
     """Current metadata row per document; with an id, a point lookup."""
     if document_id is not None:
@@ -48,6 +54,8 @@ def latest_metadata(metadata: DataFrame, document_id: str | None = None) -> Data
         "document_id",
         F.desc_nulls_last("processing_timestamp"),
         F.desc("upload_timestamp"),
+        # A failed document has no processing time: the later stage is the newer row.
+        F.desc(stage(F.col("status"))),
     )
 
 
@@ -79,12 +87,18 @@ def latest_documents(
 def update_metadata(metadata: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply keyed changes; unknown keys are ignored.
 
-    ``changes`` holds ``document_id`` and any of the updatable columns, one row
-    per document. A NULL in a change overwrites; a column the change set does
-    not carry is left alone.
+    ``changes`` holds ``document_id`` and any of the updatable columns. Of several
+    changes to a document the latest by processing time counts, then the later
+    stage. A NULL in a change overwrites; a column the change set does not carry
+    is left alone.
     """
     changed = [c for c in UPDATED_COLUMNS if c in changes.columns]
-    incoming = changes.select(
+    order = []
+    if "processing_timestamp" in changed:
+        order.append(F.desc_nulls_last("processing_timestamp"))
+    if "status" in changed:
+        order.append(F.desc(stage(F.col("status"))))
+    incoming = latest(changes.select("document_id", *changed), "document_id", *order).select(
         "document_id",
         F.struct(*[F.col(c) for c in changed]).alias("_change"),
     )

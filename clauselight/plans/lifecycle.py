@@ -152,11 +152,12 @@ class Processed(NamedTuple):
 def _request_key() -> Column:
     """One text per distinct piece of work; lengths keep the parts apart."""
     parts = ("document_id", "simplification_level", "target_audience")
-    return F.concat(
+    return F.concat_ws(
+        "|",
         *[
-            F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c), F.lit("|"))
+            F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
             for c in parts
-        ]
+        ],
     )
 
 
@@ -332,12 +333,14 @@ def ask(
     workdir: str,
     *,
     as_of: datetime | None = None,
+    parallelism: int | None = None,
 ) -> Answered:
     """Answer questions about documents; a failed call gets the apology.
 
     ``questions`` holds question_id, document_id and question, and optionally
     target_audience. A document may be asked about any number of times, so its
     text is repeated over the tasks that need it rather than gathered in one.
+    Calls run in ``parallelism`` tasks (default: the shuffle partitions).
     """
     if "target_audience" not in questions.columns:
         questions = questions.withColumn("target_audience", F.lit(AUDIENCE))
@@ -346,9 +349,11 @@ def ask(
         .select("document_id", F.lit(True).alias("_found"))
         .join(texts.select("document_id", "text"), "document_id", "left")
     )
-    spread = questions.repartition(_shuffle_partitions(questions.sparkSession), "question_id")
-    asked = salted_join(
-        spread, documents, "document_id", "left", keys_from=questions
+    tasks = parallelism or _shuffle_partitions(questions.sparkSession)
+    # Spread after the join: adaptive execution packs joined rows by bytes, and
+    # each row is a call.
+    asked = salted_join(questions, documents, "document_id", "left").repartition(
+        tasks, "question_id"
     ).withColumn(
         "error",
         F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(

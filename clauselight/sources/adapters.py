@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselight.sources.tables import spread
 
 EVENT_KEY = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k"
 
@@ -109,7 +108,7 @@ def processing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table for work that costs far more than reading it."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,18 +67,5 @@ def with_content(documents: DataFrame, raw: DataFrame) -> DataFrame:
     return salted_join(documents, files, "storage_path", "left")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on an input stored in fewer files than there are cores.
-
-    A file may be one block however many splits are planned for it, so files
-    count, not splits. A large table is returned as it is: its own splits keep
-    the cluster busy and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def preview(df: DataFrame, rows: int = 10) -> DataFrame:
     return df.limit(rows)

@@ -26,9 +26,9 @@ def values(df, column):
         ("12 apples", "12 apples"),
         ("(a (b) c)", "c)"),
         ("page 1 of 2", "page 1 of 2"),
-        ("x" * 16_001, "x" * 16_000 + "..."),
+        ("x" * 16_001, "x" * 16_001),
         ("x" * 16_000, "x" * 16_000),
-        ("\U0001f600" * 16_001, "\U0001f600" * 16_000 + "..."),
+        ("\U0001f600" * 16_001, "\U0001f600" * 16_001),
         ("a  \x1cb", "a b"),
         ("Page ١ of ٢!", "!"),
     ],
@@ -95,7 +95,7 @@ def plain_normalise(text):
     text = re.sub(r"\s+", " ", text)
     for pattern in (r"Page \d+ of \d+", r"(?m)^\d+\s*$", r"\[.*?\]", r"\(.*?\)"):
         text = re.sub(pattern, "", text)
-    return (text[:16000] + "..." if len(text) > 16000 else text).strip()
+    return text.strip()
 
 
 pieces = st.one_of(
