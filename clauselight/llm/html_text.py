@@ -100,6 +100,28 @@ LABELLED = """
 6 70 4 100 10 60 0 0 0 0
 12 60 3 100 2 100 0 0 0 0
 2 50 1 100 1 100 0 0 0 0
+150 0 90 0 130 0 0 0 1 0
+200 0 10 0 100 0 1 0 1 0
+95 2 40 0 60 0 0 0 1 0
+110 0 60 0 90 0 0 1 0 0
+90 10 60 0 80 0 1 1 0 0
+180 0 70 0 95 0 0 1 1 0
+85 0 0 0 60 0 0 1 0 0
+60 0 0 0 0 0 0 0 0 1
+30 0 0 0 0 0 0 0 0 1
+4 0 0 0 0 0 0 0 0 0
+200 0 0 0 4 0 0 0 0 1
+30 0 6 0 9 0 0 0 0 1
+5 0 2 0 6 0 1 0 0 1
+9 0 0 0 3 0 1 0 0 1
+3 0 1 0 60 0 1 0 0 1
+2 0 0 0 0 0 1 0 0 1
+4 0 1 0 30 0 1 0 0 1
+1 0 1 0 2 0 1 0 0 1
+7 0 40 0 20 60 1 0 0 1
+30 0 25 0 6 80 1 0 0 1
+5 0 1 0 6 0 0 0 0 0
+3 0 0 0 1 0 0 0 0 0
 """
 
 
@@ -161,7 +183,9 @@ def blocks(page: str) -> list[Block]:
                 while opened and opened[-1][0] in ("p", "span", "b", "i"):
                     opened.pop()
             named = " ".join("".join(x) for x in _NAMES.findall(m[4])) if m[4] else ""
-            opened.append((name, name in MAIN_TAGS, name in FRAME_TAGS, bool(HINTS.search(named))))
+            # The header of an article holds its title, not the site's.
+            frames = name in FRAME_TAGS and not (name == "header" and any(o[1] for o in opened))
+            opened.append((name, name in MAIN_TAGS, frames, bool(HINTS.search(named))))
     held.append((page[at:], linked > 0))
     close_block()
     return found

@@ -25,7 +25,7 @@ SAMPLE = 10_000
 LEAST_DOCUMENTS = 5  # a feature must occur in, to have a weight
 STEPS = 250
 RATE = 0.05
-PENALTY = 2e-5
+PENALTY = 1e-3
 KEEP_FROM = 0.5
 
 _PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
