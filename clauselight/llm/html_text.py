@@ -109,7 +109,6 @@ LABELLED = """
 85 0 0 0 60 0 0 1 0 0
 60 0 0 0 0 0 0 0 0 1
 30 0 0 0 0 0 0 0 0 1
-4 0 0 0 0 0 0 0 0 0
 200 0 0 0 4 0 0 0 0 1
 30 0 6 0 9 0 0 0 0 1
 5 0 2 0 6 0 1 0 0 1
@@ -120,8 +119,6 @@ LABELLED = """
 1 0 1 0 2 0 1 0 0 1
 7 0 40 0 20 60 1 0 0 1
 30 0 25 0 6 80 1 0 0 1
-5 0 1 0 6 0 0 0 0 0
-3 0 0 0 1 0 0 0 0 0
 """
 
 
