@@ -78,7 +78,7 @@ CASES = {
         ("Summary:\n- The lease runs 12 months", *FALLBACK_TAIL),
     ),
     "long fallback": (
-        "Summary:\n- " + "x" * 600, "fallback", ("Summary:\n- " + "x" * 489 + "...", *FALLBACK_TAIL),
+        "Summary:\n- " + "x" * 600, "fallback", ("Summary:\n- " + "x" * 600, *FALLBACK_TAIL),
     ),
     "bullet and broken braces": ("Summary:\n- bullet {x}", "error", (None,) * 6),
     "orphan bullet": ("- orphan bullet", "text", NOTHING),
