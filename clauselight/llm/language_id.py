@@ -2,54 +2,61 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselight.llm.words import Memo, batch_rows
+from clauselight.llm.words import batch_rows
 
-ORDERS = (1, 2, 3)
 PROFILE = 400
 UNKNOWN = "und"
-# Distinct words a task gathers before it hands their n-grams on.
-_WORDS_HELD = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
-_PADDING = "\x20"
+# Distinct n-grams a task gathers before it hands them on.
+_GRAMS_HELD = 200_000
+_SPACE = 0x20
+# Three code points of 21 bits make one 64-bit number.
+_BITS = 21
 
 
-def _words(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _grams(word: str) -> list[str]:
-    padded = f"{_PADDING}{word}{_PADDING}"
-    return [padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)]
+def _gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of one to three characters as numbers, and how often each occurs.
 
-
-def _has_letter(words: list[str]) -> bool:
-    return any(c.isalpha() for w in words for c in w)
-
-
-_gram_hash = Memo(lambda gram: xxhash.xxh32_intdigest(gram.encode("utf-8", "replace")))
-_word_hashes = Memo(
-    lambda word: np.array([_gram_hash[g] for g in _grams(word)], "<u4").tobytes(), 150_000
-)
-
-
-def _ranked(words: list[str]) -> np.ndarray:
-    """Hashes of the most frequent n-grams, most frequent first, ties by hash."""
-    hashes = np.frombuffer(b"".join(map(_word_hashes.__getitem__, words)), "<u4")
-    found, counts = np.unique(hashes, return_counts=True)
-    key = (counts.astype(np.int64) << 32) | (np.int64(0xFFFFFFFF) - found)
-    if len(key) > PROFILE:
-        key = np.partition(key, len(key) - PROFILE)[-PROFILE:]
-    return np.int64(0xFFFFFFFF) - (np.sort(key)[::-1] & np.int64(0xFFFFFFFF))
+    Letters are lower-cased; every word stands between spaces, and no n-gram
+    spans two words or is a space alone.
+    """
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    # One space after each word and one before the first.
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    kept[0] = True
+    codes = np.where(letter, codes, _SPACE)[kept].astype(np.int64)
+    letter = letter[kept]
+    pairs = (codes[:-1] << _BITS) | codes[1:]
+    triples = (pairs[:-1] << _BITS) | codes[2:]
+    if not letter.any():
+        pairs = triples = codes[:0]
+    else:
+        triples = triples[letter[1:-1]]
+    grams = np.sort(np.concatenate([codes[letter], pairs, triples]))
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
+    return grams[first], np.diff(np.append(first, len(grams)))
+
+
+def _ranked(text: str) -> np.ndarray:
+    """The most frequent n-grams, most frequent first, ties by code points; none without letters."""
+    grams, counts = _gram_counts(text)
+    return grams[np.argsort(-counts, kind="stable")[:PROFILE]]
 
 
 def profiles(labelled: DataFrame) -> DataFrame:
@@ -57,34 +64,30 @@ def profiles(labelled: DataFrame) -> DataFrame:
 
     def count(batches):
         def handed_on():
-            grams = Counter()
-            for (lang, word), n in held.items():
-                for gram in _grams(word):
-                    grams[lang, gram] += n
+            rows = [(lang, gram, n) for lang, grams in held.items() for gram, n in grams.items()]
             held.clear()
             return pa.record_batch(
-                [
-                    pa.array([k[0] for k in grams], pa.string()),
-                    pa.array([k[1] for k in grams], pa.string()),
-                    pa.array(list(grams.values()), pa.int64()),
-                ],
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
                 names=["lang", "gram", "n"],
             )
 
-        held: dict[tuple[str, str], int] = {}
-        for batch in batch_rows(batches):
+        held: dict[str, Counter] = {}
+        for batch in batch_rows(batches, 1 << 20):
+            texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for word, n in Counter(_words(text)).items():
-                    held[lang, word] = held.get((lang, word), 0) + n
-                if len(held) >= _WORDS_HELD:
-                    yield handed_on()
+                texts.setdefault(lang, []).append(text or "")
+            for lang, own in texts.items():
+                grams, counts = _gram_counts(" ".join(own))
+                held.setdefault(lang, Counter()).update(dict(zip(grams.tolist(), counts.tolist())))
+            if sum(map(len, held.values())) >= _GRAMS_HELD:
+                yield handed_on()
         if held:
             yield handed_on()
 
     counts = (
         labelled.filter(F.col("lang").isNotNull())
         .select(F.col("lang").cast("string").alias("lang"), "text")
-        .mapInArrow(count, "lang string, gram string, n long")
+        .mapInArrow(count, "lang string, gram long, n long")
     )
     totals = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -95,19 +98,18 @@ def profiles(labelled: DataFrame) -> DataFrame:
 class Classifier:
     """Distances of a document's ranking to each language's."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in rows})
-        self.grams = np.unique(np.array([_gram_hash[g] for _, g, _ in rows], np.int64))
+        self.grams = np.unique(np.array([g for _, g, _ in rows], np.int64))
         self.places = np.full((len(self.langs), len(self.grams) + 1), -1, np.int64)
         number = {lang: i for i, lang in enumerate(self.langs)}
         for lang, gram, place in rows:
-            self.places[number[lang], np.searchsorted(self.grams, _gram_hash[gram])] = place - 1
+            self.places[number[lang], np.searchsorted(self.grams, gram)] = place - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _words(text)
-        if not self.langs or not _has_letter(words):
+        ranked = _ranked(text or "")
+        if not self.langs or not len(ranked):
             return UNKNOWN, 0.0
-        ranked = _ranked(words)
         at = np.searchsorted(self.grams, ranked)
         at[at == len(self.grams)] = len(self.grams) - 1
         at = np.where(self.grams[at] == ranked, at, len(self.grams))
