@@ -150,6 +150,28 @@ def test_model_probabilities_sum_to_one(spark):
             assert model.score("en", [word.encode()])[0][0] == pytest.approx(want, abs=1e-3)
 
 
+def test_ngrams_of_any_alphabet_are_counted():
+    words = {"abra": 3, "ab": 2, "": 1, "".join(map(chr, range(0x10000, 0x30000))): 5}
+    padded = [perplexity.START + w + perplexity.END for w in words]
+    want = Counter()
+    for p, n in zip(padded, words.values()):
+        for i in range(1, len(p)):
+            want[p[max(0, i - 3) : i + 1]] += n
+    codes, place, sizes = perplexity._laid_out(padded)
+    assert perplexity._event_counts(codes, place, np.repeat(list(words.values()), sizes)) == want
+
+
+def test_grams_stay_within_words():
+    grams, counts = language_id._gram_counts("  Hallo, wëlt! 12 ²x_y  hallo")
+    got = {"".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0) if g >> s): n for g, n in zip(grams.tolist(), counts.tolist())}
+    want = Counter()
+    for word in ("hallo", "wëlt", "x", "y", "hallo"):
+        padded = f" {word} "
+        want.update(word)
+        want.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+    assert got == want
+
+
 def test_quality_measures_agree_with_plain_python(spark, corpus):
     odd = [(1000, "a b c a b c\n\na b c a b c\n x * # é", None, "s", 0), (1001, "zzz " * 70, "en", "s", 0)]
     docs = corpus.union(spark.createDataFrame(odd, corpus.schema))
