@@ -2,7 +2,8 @@
 
 A page is cut at its block tags into a flat list of blocks. A block's features
 are its word count and link density, those of its neighbours, and what encloses
-it. A tree trained on the labelled blocks in ``LABELLED`` tells article blocks from the
+it (an article or main element, a frame, a class, id or role that tells of
+something else). A tree trained on the labelled blocks in ``LABELLED`` tells article blocks from the
 rest; it is trained anew in a moment and sent with the tasks.
 """
 
@@ -35,12 +36,15 @@ HINTS = re.compile(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|select|button|iframe|title|head(?=[\s>]))\b[^>]*>"
-    r".*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
     r"|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+# Elements without text of the page. One that is never closed hides what comes
+# before the next block tag; a head without an end tag hides nothing.
+HIDDEN_TAGS = frozenset("button head iframe noscript select svg template".split())
+_NESTING = frozenset(["svg", "template"])
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 
 FEATURES = "words links before before_links after after_links in_main framed hinted".split()
@@ -132,60 +136,122 @@ class Block:
     hinted: bool
 
 
+@dataclass
+class _Element:
+    """An open element; ``plain`` and ``main`` count its words outside links and in main elements."""
+
+    name: str
+    is_main: bool = False
+    frames: bool = False
+    hints: bool = False
+    hides: bool = False
+    loose: bool = False
+    plain: int = 0
+    main: int = 0
+
+
+def _closed(tokens: list[re.Match]) -> set[int]:
+    """Which start tags of hidden elements have an end tag."""
+    opened, closed = {}, set()
+    for i, m in enumerate(tokens):
+        name = (m[3] or "").lower()
+        if name not in HIDDEN_TAGS or m[4].endswith("/"):
+            continue
+        starts = opened.setdefault(name, [])
+        if not m[2]:
+            if name not in _NESTING:
+                starts.clear()
+            starts.append(i)
+        elif starts:
+            closed.add(starts.pop())
+    return closed
+
+
 def blocks(page: str) -> list[Block]:
-    """Texts between block tags, in page order; blocks without text are left out."""
-    found: list[Block] = []
+    """Texts between block tags, in page order; blocks without text are left out.
+
+    Frames and names of an element with most of the page's words outside links
+    say nothing of its blocks, unless articles or mains lie outside it alone.
+    """
+    found: list[tuple[Block, list[_Element]]] = []
     held: list[tuple[str, bool]] = []
-    # Open elements: name and whether it is main, frames or hints at something else.
-    opened: list[tuple[str, bool, bool, bool]] = []
+    opened: list[_Element] = []
+    page_plain = page_main = 0
     linked = 0
+    hidden = False
 
     def close_block():
+        nonlocal page_plain, page_main
         if not held:
             return
         text = " ".join(html.unescape("".join(t for t, _ in held)).split())
         if text:
             words = len(text.split())
             in_links = sum(len(html.unescape(t).split()) for t, link in held if link)
-            found.append(
-                Block(text, words, min(1.0, in_links / words), any(o[1] for o in opened),
-                      any(o[2] for o in opened), any(o[3] for o in opened))
-            )
+            plain, in_main = max(0, words - in_links), any(o.is_main for o in opened)
+            page_plain += plain
+            page_main += words * in_main
+            marked = [o for o in opened if o.frames or o.hints]
+            for o in marked:
+                o.plain += plain
+                o.main += words * in_main
+            found.append((Block(text, words, min(1.0, in_links / words), in_main, False, False), marked))
         held.clear()
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    tokens = list(_TOKEN.finditer(page))
+    closed = _closed(tokens)
+    for i, m in enumerate(tokens):
+        if m.start() > at and not hidden:
             held.append((page[at : m.start()], linked > 0))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
-        if name == "a":
+        if name in BLOCK_TAGS:
+            # An unclosed hidden element, or a head, ends here.
+            if hidden:
+                while any(o.loose or o.name == "head" for o in opened):
+                    opened.pop()
+                hidden = any(o.hides for o in opened)
+            if not hidden:
+                close_block()
+                linked = 0
+        elif name == "a" and not hidden:
             linked = max(0, linked - 1) if m[2] else linked + 1
-        elif name == "br":
+        elif name == "br" and not hidden:
             held.append((" ", False))
-        if name in BLOCK_TAGS:
-            close_block()
-            linked = 0
         if name in _VOID or m[4].endswith("/"):
             continue
         if m[2]:
-            if any(o[0] == name for o in opened):
-                while opened.pop()[0] != name:
+            if any(o.name == name for o in opened):
+                while opened.pop().name != name:
                     pass
+        elif name in HIDDEN_TAGS:
+            if i in closed or name != "head":
+                opened.append(_Element(name, hides=True, loose=i not in closed))
         elif name in BLOCK_TAGS or name in ("span", "b", "i"):
             if name in BLOCK_TAGS:
                 # Paragraphs and inline elements left open end with the block.
-                while opened and opened[-1][0] in ("p", "span", "b", "i"):
+                while opened and opened[-1].name in ("p", "span", "b", "i"):
                     opened.pop()
             named = " ".join("".join(x) for x in _NAMES.findall(m[4])) if m[4] else ""
             # The header of an article holds its title, not the site's.
-            frames = name in FRAME_TAGS and not (name == "header" and any(o[1] for o in opened))
-            opened.append((name, name in MAIN_TAGS, frames, bool(HINTS.search(named))))
-    held.append((page[at:], linked > 0))
+            frames = name in FRAME_TAGS and not (name == "header" and any(o.is_main for o in opened))
+            hints = name not in ("html", "body") and bool(HINTS.search(named))
+            opened.append(_Element(name, name in MAIN_TAGS, frames, hints))
+        was, hidden = hidden, any(o.hides for o in opened)
+        if was and not hidden and name in BLOCK_TAGS:
+            close_block()
+            linked = 0
+    if not hidden:
+        held.append((page[at:], linked > 0))
     close_block()
-    return found
+    for block, marked in found:
+        for o in marked:
+            block.framed |= o.frames
+            block.hinted |= o.hints
+    return [block for block, _ in found]
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -247,8 +313,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of (page_id, url, html).
 
     White space within a block becomes one space, blocks are joined by an empty
-    line. A page without html or without main text has the text ''. Elements
-    that are never closed end with the page; other columns are not read.
+    line. A page without html or without main text has the text ''. Of elements
+    that are never closed, comments, scripts, styles, titles and text areas end
+    with the page, other hidden ones at the next block tag. Other columns are
+    not read.
     """
     tree = train(*labelled())
 

@@ -103,6 +103,26 @@ def test_main_text_of_a_page(spark):
     assert html_text.extract(pages).count() == 7
 
 
+def words(n, start=0):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+ARTICLE = f"<h2>{words(6)}</h2>" + "".join(f"<p>{words(60, i)}</p>" for i in (100, 200, 300))
+WHOLE = "\n\n".join([words(6), words(60, 100), words(60, 200), words(60, 300)])
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><meta charset=utf-8><body>{ARTICLE}",
+    f"<head><style>p{{}}</style>{ARTICLE}",
+    f'<h2>{words(6)}</h2><svg viewBox="0 0 1 1"/><p>{words(60, 100)}</p><p>{words(60, 200)}</p><p>{words(60, 300)}</p>',
+    f"<h2>{words(6)}</h2><button>Share<p>{words(60, 100)}</p><select><option>One<p>{words(60, 200)}</p><p>{words(60, 300)}</p>",
+    f"<div><noscript>Enable scripts</div>{ARTICLE}<iframe>none",
+    f"<svg><svg><text>a</text></svg></svg><template><p>no</p></template><button>Go</button>{ARTICLE}<noscript><p>no</p></noscript>",
+])
+def test_hidden_elements_take_no_text_after_them(page):
+    assert html_text.main_text(page, html_text.train(*html_text.labelled())) == WHOLE
+
+
 def test_tree_tells_the_labelled_blocks_apart():
     rows, labels = html_text.labelled()
     tree = html_text.train(rows, labels)
