@@ -74,7 +74,7 @@ LABELLED = """
 6 80 120 0 0 0 1 1 0 0
 18 0 70 0 22 0 1 0 1 0
 55 0 60 0 40 0 1 0 1 0
-120 0 80 0 90 0 1 0 1 0
+120 0 80 0 90 0 1 0 1 1
 5 60 100 0 18 0 1 0 1 0
 35 0 20 0 30 0 1 1 1 0
 4 100 90 0 3 100 1 0 1 0
@@ -104,12 +104,12 @@ LABELLED = """
 6 70 4 100 10 60 0 0 0 0
 12 60 3 100 2 100 0 0 0 0
 2 50 1 100 1 100 0 0 0 0
-150 0 90 0 130 0 0 0 1 0
+150 0 90 0 130 0 0 0 1 1
 200 0 10 0 100 0 1 0 1 0
-95 2 40 0 60 0 0 0 1 0
-110 0 60 0 90 0 0 1 0 0
-90 10 60 0 80 0 1 1 0 0
-180 0 70 0 95 0 0 1 1 0
+95 2 40 0 60 0 0 0 1 1
+110 0 60 0 90 0 0 1 0 1
+90 10 60 0 80 0 1 1 0 1
+180 0 70 0 95 0 0 1 1 1
 85 0 0 0 60 0 0 1 0 0
 60 0 0 0 0 0 0 0 0 1
 30 0 0 0 0 0 0 0 0 1
@@ -123,6 +123,67 @@ LABELLED = """
 1 0 1 0 2 0 1 0 0 1
 7 0 40 0 20 60 1 0 0 1
 30 0 25 0 6 80 1 0 0 1
+60 0 80 0 45 0 0 0 1 1
+45 0 50 0 120 0 0 0 1 1
+50 4 90 0 60 0 0 1 0 1
+75 0 45 0 45 3 0 1 0 1
+140 0 45 0 200 0 0 1 1 1
+48 0 60 0 50 0 1 0 1 1
+65 0 110 0 70 0 1 1 0 1
+300 0 48 0 52 0 0 0 1 1
+120 0 5 0 3 50 0 0 1 0
+70 0 4 0 2 100 0 0 1 0
+45 0 6 0 5 0 0 0 1 0
+90 0 5 20 6 0 1 0 1 0
+160 0 4 0 1 100 0 0 1 0
+28 0 60 0 80 0 0 0 1 0
+20 0 90 0 75 0 0 1 0 0
+12 0 55 0 60 0 1 0 1 0
+6 0 48 0 90 0 0 0 1 0
+18 0 70 0 45 0 1 1 0 0
+14 0 60 0 3 100 0 0 0 1
+9 0 45 0 1 100 0 0 0 1
+25 0 50 0 20 0 0 0 0 1
+20 0 30 0 0 0 0 0 0 1
+22 0 70 0 4 0 0 0 0 1
+35 0 1 100 40 0 0 0 0 1
+90 0 2 100 0 0 0 0 0 1
+70 0 1 100 1 100 0 0 0 1
+110 5 60 0 2 100 0 0 0 1
+5 0 60 0 45 0 0 0 0 1
+9 0 30 0 25 0 0 0 0 1
+7 0 8 0 60 0 0 0 0 1
+10 0 1 100 30 0 0 0 0 1
+2 0 60 0 1 100 1 0 0 0
+1 0 40 0 2 100 1 0 0 0
+3 0 120 0 1 100 1 0 0 0
+2 0 1 100 1 100 1 0 0 0
+4 100 80 0 1 100 1 0 0 0
+2 100 4 100 0 0 1 0 0 0
+30 0 90 0 1 100 1 0 0 1
+45 0 5 100 3 100 1 0 0 1
+25 0 60 0 2 100 1 0 0 1
+2 0 1 0 1 0 1 0 0 1
+1 0 8 0 5 0 1 0 0 1
+8 0 10 0 0 0 1 0 0 1
+4 0 16 0 90 0 1 0 0 1
+1 0 90 0 16 0 1 0 0 1
+2 0 20 0 16 0 1 0 0 1
+10 0 13 0 5 0 1 0 0 1
+12 0 80 0 0 0 0 0 0 1
+6 0 9 0 8 0 0 0 0 1
+8 0 20 0 5 0 0 0 0 1
+5 0 30 0 0 0 0 0 0 1
+8 0 1 100 6 0 1 0 0 1
+5 0 1 100 10 0 1 0 0 1
+1 0 1 100 3 0 1 0 0 1
+40 0 3 0 70 0 0 0 0 1
+12 0 9 0 2 0 1 0 0 1
+25 0 3 0 8 0 0 0 0 1
+6 0 60 0 1 100 1 0 0 1
+8 0 75 0 2 100 1 0 0 1
+5 0 40 0 3 100 0 0 0 1
+18 0 80 0 1 100 0 0 0 1
 """
 
 
@@ -249,8 +310,9 @@ def blocks(page: str) -> list[Block]:
     close_block()
     for block, marked in found:
         for o in marked:
-            block.framed |= o.frames
-            block.hinted |= o.hints
+            if 2 * o.plain <= page_plain or page_main and not o.main:
+                block.framed |= o.frames
+                block.hinted |= o.hints
     return [block for block, _ in found]
 
 

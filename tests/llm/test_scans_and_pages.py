@@ -109,6 +109,16 @@ def words(n, start=0):
 
 ARTICLE = f"<h2>{words(6)}</h2>" + "".join(f"<p>{words(60, i)}</p>" for i in (100, 200, 300))
 WHOLE = "\n\n".join([words(6), words(60, 100), words(60, 200), words(60, 300)])
+MENU = '<nav><a href="/">Home</a></nav>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="single has-sidebar no-comments">{MENU}{ARTICLE}<footer>All rights reserved.</footer></body>',
+    f'<body>{MENU}<div id="page" class="with-sidebar">{ARTICLE}</div></body>',
+    f'<body><form action="/"><div class="menu"><a href="/">Home</a></div>{ARTICLE}</form></body>',
+])
+def test_marks_around_the_whole_text_do_not_drop_it(page):
+    assert html_text.main_text(page, html_text.train(*html_text.labelled())) == WHOLE
 
 
 @pytest.mark.parametrize("page", [
@@ -123,6 +133,28 @@ def test_hidden_elements_take_no_text_after_them(page):
     assert html_text.main_text(page, html_text.train(*html_text.labelled())) == WHOLE
 
 
+def test_words_and_neighbours_decide():
+    tree = html_text.train(*html_text.labelled())
+    used, todo = set(), [tree]
+    while todo:
+        node = todo.pop()
+        if not isinstance(node, bool):
+            used.add(html_text.FEATURES[node[0]])
+            todo += node[2:]
+    assert {"words", "links", "before", "after_links"} <= used
+    main = lambda *row: html_text.is_main(tree, html_text.np.array(row, float))
+    # Marked prose between prose is main text, a comment between bylines is not.
+    assert main(80, 0, 80, 0, 80, 0, 0, 0, 1) and not main(80, 0, 4, 0, 3, 0, 0, 0, 1)
+    # So is an unmarked paragraph and a short one before links, but not "Share:" there.
+    assert main(8, 0, 70, 0, 1, 1, 1, 0, 0) and main(8, 0, 70, 0, 1, 1, 0, 0, 0)
+    assert main(60, 0, 70, 0, 50, 0, 0, 0, 0) and not main(2, 0, 70, 0, 1, 1, 0, 0, 0)
+
+
+def test_comments_longer_than_their_article_stay_out():
+    page = f"<article><p>{words(30)}</p></article><section class='comments'><p>{words(20, 50)}</p><p>{words(25, 90)}</p></section>"
+    assert html_text.main_text(page, html_text.train(*html_text.labelled())) == words(30)
+
+
 def test_tree_tells_the_labelled_blocks_apart():
     rows, labels = html_text.labelled()
     tree = html_text.train(rows, labels)
