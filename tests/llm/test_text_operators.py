@@ -202,6 +202,12 @@ def test_gibberish_leaves_the_band(spark):
     ]
 
 
+def test_symbol_laden_documents_are_in_the_model(spark):
+    rows = [("md", b"| a | b | # c"), ("en", b"plain words"), ("en", b"# $x$ <b>")]
+    counts = perplexity.ngram_counts(spark.createDataFrame(rows, "lang string, text binary")).collect()
+    assert {(r.lang, r.gram) for r in counts} >= {("md", "\x02|"), ("md", "\x02a"), ("en", "\x02p"), ("en", "\x02#")}
+
+
 def test_grades_of_held_out_documents(spark):
     bad, poor = "awful nasty".split(), "buy ### now".split()
     rows, labels = [], []
