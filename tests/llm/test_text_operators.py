@@ -202,6 +202,26 @@ def test_gibberish_leaves_the_band(spark):
     ]
 
 
+def test_bands_reject_on_both_sides(spark):
+    rng = random.Random(11)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    words = ["".join(rng.choices(letters, range(26, 0, -1), k=rng.randint(2, 8))) for _ in range(600)]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    rows = [(i, " ".join(rng.choices(words, weights, k=150)), "en") for i in range(200)]
+    rows.append((1000, " ".join(rng.choices(words[:12], k=90)), "en"))
+    odd = [w[::-1] for w in rng.choices(words[300:], k=40)] + rng.choices(words, weights, k=60)
+    rows.append((1001, " ".join(odd), "en"))
+    rows += [(2000 + i, rows[0][1], "en") for i in range(400)]
+    got = {r.doc_id: r for r in perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    usual = float(np.median([got[i].log_perplexity for i in range(200)]))
+    low, high = got[1000], got[1001]
+    assert not low.base_failed and not high.base_failed
+    # Both lie within one nat of the median.
+    assert usual - 1 < low.log_perplexity < usual < high.log_perplexity < usual + 1
+    assert not low.kept and not high.kept
+    assert sum(got[i].kept for i in range(200)) > 180
+
+
 def test_symbol_laden_documents_are_in_the_model(spark):
     rows = [("md", b"| a | b | # c"), ("en", b"plain words"), ("en", b"# $x$ <b>")]
     counts = perplexity.ngram_counts(spark.createDataFrame(rows, "lang string, text binary")).collect()
