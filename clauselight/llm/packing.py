@@ -2,10 +2,10 @@
 
 Every window of ``window`` tokens takes from each source queue its share of the
 target mixture. Shares are whole tokens; what a queue is owed beyond them is its
-deficit, which later windows pay. One round of windows pays all deficits, so the
-windows of a round form a small table and any window's share, and any queue
-position's window, follow by arithmetic: deficits carry over from task to task
-without a pass in order over the data.
+deficit, which later windows pay. A queue's quota in a run of windows follows from
+what is due before and after it, so any window's share, and any queue
+position's window, follow by arithmetic: deficits carry over from window to window
+and from task to task without a pass in order over the data.
 """
 
 from __future__ import annotations
@@ -43,24 +43,69 @@ PIECES_SCHEMA = (
 
 @dataclass
 class Phase:
-    """Rounds with the same shares.
+    """Windows with the same shares.
 
-    ``counts[k, s]``: tokens of queue ``s`` in window ``k`` of a round;
-    ``taken`` and ``first`` say how many tokens and windows came before.
+    ``parts[s]`` is the whole number that stands for the weight of queue ``s``.
+    At tick ``t`` the queue is due ``(t * parts[s] + ahead[s]) // sum(parts)``
+    tokens; windows take tokens in the order they are due, those of one tick by
+    queue. ``ahead`` spreads the first tokens of equal queues over the ticks.
+    ``taken`` and ``first`` say how many tokens and windows came before the phase.
     """
 
-    counts: np.ndarray
-    rounds: int
+    parts: list[int]
+    tokens: int
     taken: np.ndarray
     first: int
+    window: int
 
     def __post_init__(self):
-        none = np.zeros((1, self.counts.shape[1]), np.int64)
-        # Tokens of a queue before each window of a round, and places inside windows.
-        self.before = np.concatenate([none, np.cumsum(self.counts, axis=0)])
-        self.place = np.cumsum(self.counts, axis=1) - self.counts
-        self.share = self.before[-1]
-        self.end = self.taken + self.share * self.rounds
+        self.total = sum(self.parts)
+        self.ahead = [self.total * (i * 40503 % 65536) // 65536 for i in range(len(self.parts))]
+        self.known: dict[int, list[int]] = {}
+        self.end = self.taken + np.array(self.due(self.tokens), np.int64)
+
+    def _at(self, tick: int) -> list[int]:
+        return [(tick * p + a) // self.total for p, a in zip(self.parts, self.ahead)]
+
+    def due(self, n: int) -> list[int]:
+        """Tokens of every queue among the first ``n`` of the phase."""
+        low, high = max(0, n - len(self.parts)), n + len(self.parts)
+        while low < high:
+            middle = (low + high) // 2
+            if sum(self._at(middle)) >= n:
+                high = middle
+            else:
+                low = middle + 1
+        if low == 0:
+            return [0] * len(self.parts)
+        counts = self._at(low - 1)
+        more = n - sum(counts)
+        for i, later in enumerate(self._at(low)):
+            if more and later > counts[i]:
+                counts[i] += 1
+                more -= 1
+        return counts
+
+    def before(self, k: int) -> list[int]:
+        """Tokens of every queue before window ``k`` of the phase."""
+        if k not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[k] = self.due(min(k * self.window, self.tokens))
+        return self.known[k]
+
+    def window_of(self, queue: int, at: int) -> int:
+        """The window that holds the queue's token ``at`` of the phase."""
+        tick = -(-((at + 1) * self.total - self.ahead[queue]) // self.parts[queue])
+        # Tokens due before the tick, and those of the tick before this queue's.
+        earlier, then = self._at(tick - 1), self._at(tick)
+        return (sum(earlier) + sum(then[:queue]) - sum(earlier[:queue])) // self.window
+
+    @property
+    def counts(self) -> np.ndarray:
+        """Tokens of every queue in the first windows."""
+        n = min(-(-self.tokens // self.window), WINDOWS_PER_ROUND)
+        return np.diff(np.array([self.before(k) for k in range(n + 1)], np.int64), axis=0)
 
 
 def _whole_shares(weights: np.ndarray, total: int, most: np.ndarray) -> np.ndarray:
@@ -81,21 +126,15 @@ def _whole_shares(weights: np.ndarray, total: int, most: np.ndarray) -> np.ndarr
     return shares
 
 
-def _round_robin(shares: np.ndarray, window: int) -> np.ndarray:
-    """Tokens of every queue in every window of a round.
-
-    A queue's next token is due when the round has served it in proportion; the
-    windows take tokens in the order they are due. No queue is ever owed, or
-    ahead by, more than about one token.
-    """
-    queues = np.repeat(np.arange(len(shares)), shares)
-    nth = np.arange(len(queues)) - np.repeat(np.cumsum(shares) - shares, shares)
-    due = (2 * nth + 1) / (2 * np.repeat(shares, shares))
-    order = np.lexsort((queues, due))
-    n_windows = -(-len(queues) // window)
-    counts = np.zeros((n_windows, len(shares)), np.int64)
-    np.add.at(counts, (np.arange(len(queues)) // window, queues[order]), 1)
-    return counts
+def _parts(weights: np.ndarray, left: np.ndarray) -> list[int]:
+    """Whole numbers in the proportion of the weights of queues that have tokens left."""
+    live = np.where(left > 0, weights, 0.0)
+    if not live.any():  # only queues without a weight are left
+        live = left.astype(float)
+    if (live == left).all():
+        return [int(x) for x in left]
+    scale = 2.0**60 / live.max()
+    return [max(1, round(float(x) * scale)) if x > 0 else 0 for x in live]
 
 
 def schedule(
@@ -103,20 +142,37 @@ def schedule(
 ) -> list[Phase]:
     """Phases that use up queues of ``totals`` tokens.
 
-    A phase repeats full rounds until a queue cannot fill its share; one round
-    then takes what that queue has, and the rest is shared anew among the others.
-    So there are at most about two phases per queue, whatever the totals.
+    A phase lasts until a queue is used up or, in whole windows, until just
+    before; in the latter case the next ones share that last window. Queues that
+    run out in one window end in it, so there are at most two phases per queue.
     """
     phases, taken, first = [], np.zeros(len(totals), np.int64), 0
     while (left := totals - taken).any():
-        size = window * WINDOWS_PER_ROUND
-        live = np.where(left > 0, weights, 0.0)
-        shares = _whole_shares(live, size, left)
-        asked = shares > 0
-        rounds = int((left[asked] // shares[asked]).min())
-        phase = Phase(_round_robin(shares, window), rounds, taken, first)
+        parts = _parts(weights, left)
+        size = int(left.sum())
+
+        def fits(n):
+            phase = Phase(parts, n, taken, first, window)
+            return bool((phase.end <= totals).all())
+
+        low, high = 0, -(-size // window)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if fits(min(middle * window, size)):
+                low = middle
+            else:
+                high = middle - 1
+        if low:
+            phase = Phase(parts, min(low * window, size), taken, first, window)
+            phases.append(phase)
+            taken, first = phase.end, first + low
+            continue
+        # Some queue can't fill its share of the next window: it gives what it has.
+        n = min(window, size)
+        shares = _whole_shares(np.asarray(parts, float), n, left)
+        phase = Phase([int(x) for x in shares], n, taken, first, window)
         phases.append(phase)
-        taken, first = phase.end, first + rounds * len(phase.counts)
+        taken, first = phase.end, first + 1
     return phases
 
 
@@ -129,16 +185,12 @@ def cut(phases: list[Phase], queue: int, at: int, n: int):
         if at >= p.end[queue]:
             i += 1
             continue
-        turn, inner = divmod(at - int(p.taken[queue]), int(p.share[queue]))
-        before = p.before[:, queue]
-        k = int(np.searchsorted(before, inner, "right")) - 1
-        length = min(end - at, int(before[k + 1]) - inner)
-        yield (
-            at - start,
-            length,
-            p.first + turn * len(p.counts) + k,
-            int(p.place[k, queue]) + inner - int(before[k]),
-        )
+        inner = at - int(p.taken[queue])
+        k = p.window_of(queue, inner)
+        before, after = p.before(k), p.before(k + 1)
+        length = min(end - at, after[queue] - inner)
+        place = sum(after[:queue]) - sum(before[:queue])
+        yield at - start, length, p.first + k, place + inner - before[queue]
         at += length
 
 
@@ -209,14 +261,19 @@ def pack(
     queues = [*named, REST] if rest else named
     tokens = np.array([by_queue.get(q, rest) for q in queues], np.int64)
     shares = tokens if weights is None else [float(weights.get(q, 0.0)) for q in queues]
+    if rest and weights is not None:
+        small = totals.filter(F.col("queue").isin(list(weights)) & ~F.col("queue").isin(named)).collect()
+        shares[-1] = sum(float(weights[row["queue"]]) for row in small)
     phases = schedule(tokens, np.asarray(shares, float), window)
     number = {q: i for i, q in enumerate(queues)}
 
-    # Rows of the shared queue follow each other by source.
+    # Runs of the shared queue, one for a source in a task, follow each other in mixed order.
     own = F.col("queue").isin(named) if rest else F.lit(True)
     lane = F.when(own, F.col("queue")).otherwise(F.lit(REST))
     before = (
-        Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("lane")
+        .orderBy(F.when(F.col("lane") == REST, F.xxhash64("part", "queue")), "part", "queue")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     bases = sizes.withColumn("lane", lane).select(
         "part", "queue", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")

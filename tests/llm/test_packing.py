@@ -49,6 +49,22 @@ def test_windows_hold_the_target_mixture():
         assert np.abs(counts - 2048 * totals / totals.sum()).max() < 2
 
 
+def test_sources_below_a_token_a_round_enter_the_mixture():
+    totals = np.array([10_000_000_000, *[50_000] * 20])
+    phases = packing.schedule(totals, totals.astype(float))
+    assert len(phases) <= 2 * len(totals) and (phases[-1].end == totals).all()
+    n_windows = -(-int(totals.sum()) // 2048)
+    for queue in (1, 20):
+        tenth = next(packing.cut(phases, queue, 5_000, 1))[2]
+        last = next(packing.cut(phases, queue, 49_999, 1))[2]
+        assert abs(tenth / n_windows - 0.1) < 0.01 and last > 0.99 * n_windows
+    # No quota departs from the target by more than a few tokens, in any run of windows.
+    p = phases[0]
+    for k in (1, 1000, n_windows // 2):
+        due = min(k * 2048, p.tokens) * (totals / totals.sum())
+        assert np.abs(np.array(p.before(k)) - due)[1:].max() <= 1 and abs(p.before(k)[0] - due[0]) <= len(totals)
+
+
 def test_shares_follow_weights_until_a_queue_is_used_up():
     totals = np.array([1_000_000, 1_000_000, 50_000])
     phases = packing.schedule(totals, np.array([1.0, 3.0, 0.0]))
@@ -69,5 +85,14 @@ def test_small_sources_share_a_queue(spark, monkeypatch):
     )
 
 
+def test_weights_of_small_sources_add_up(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 1)
+    rows = [(i, "word " * 400, "big" if i < 80 else f"small{i % 4}") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"big": 1.0, **{f"small{i}": 0.25 for i in range(4)}, "absent": 9.0}
+    first = [p for p in packing.pack(docs, weights=weights).collect() if p.sequence_id == 0]
+    assert abs(sum(p.length for p in first if p.queue != "big") - 1024) <= 2
+
+
 def test_no_documents(spark):
     assert packing.pack(documents(spark).filter("false")).count() == 0
