@@ -46,7 +46,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(width):
         key <<= bits
-        key[: n - i] |= text[i:]
+        key[: max(0, n - i)] |= text[i:]
     tied = np.argsort(key, kind="stable")
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1

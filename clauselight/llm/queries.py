@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselight.llm import chat_format, checks, decontamination, html_text, language_id, near_dedup, ordinal, packing, perplexity, secret_scan, token_files
+from clauselight.llm import (
+    block_pruning, chat_format, checks, decontamination, hard_negatives, html_text, language_id,
+    near_dedup, ordinal, packing, periodic_runs, perplexity, secret_scan, token_files,
+)
 from clauselight.session import configure, new_path
 
 QUERIES = {}
@@ -98,6 +101,37 @@ def op8(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op11_block_pruned_top_k", checks.OP11)
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return block_pruning.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def looped(documents: DataFrame) -> DataFrame:
+    """Every tenth text, by the checksum of its id, goes on periodically from some word."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = documents.select("doc_id", "text", F.when(chosen, words).alias("w"), (h / 10).cast("long").alias("g"))
+    rows = rows.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.expr("g % greatest(n, 1)"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    turned = F.expr("transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))])")
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_maximal_pair_runs")
+def op12(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.find(looped(documents)))
+
+
+@query("op13_l2ap_hard_negatives", checks.OP13)
+def op13(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
