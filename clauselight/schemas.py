@@ -38,6 +38,9 @@ PARTITIONED_USAGE = T.StructType(
     [*USAGE_ANALYTICS.fields, T.StructField("event_date", T.DateType())]
 )
 
+# What the stream of raw events found out about a row.
+VERDICT = _struct("reject_reason STRING, accepted BOOLEAN")
+
 DOCUMENT_METADATA = _struct(
     "document_id STRING NOT NULL, filename STRING NOT NULL, file_type STRING NOT NULL,"
     " file_size BIGINT NOT NULL, upload_timestamp TIMESTAMP NOT NULL,"
