@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from clauselight.catalog import query
 from clauselight.catalog.extraction import _NAME
+from clauselight.catalog.responses import _flat_terms
 from clauselight.catalog.storage import delete_set
 from clauselight.catalog.text import READING, WS, measures_check, normalised_check
 from clauselight.functions import prompts
 from clauselight.operators import batch, intake
 from clauselight.operators.skew import salted_join
 from clauselight.plans import lifecycle
+from clauselight.plans.calls import Ledger
 from clauselight.sources.adapters import METADATA_SQL, document_metadata, documents, table, texts
 
 AS_OF = datetime(2024, 3, 1)
@@ -37,7 +39,14 @@ def stand_in(mark: str, end: str | None = None):
         if end is not None:
             return document
         return json.dumps(
-            {"summary": document, "key_points": [document, " "], "next_steps": ["review"]}
+            {
+                "summary": document,
+                "key_points": [document, " "],
+                "important_terms": {"length": str(len(document))},
+                "deadlines_obligations": [f"within {len(document)} days"],
+                "warnings": ["long"] if len(document) > 1000 else [],
+                "next_steps": ["review"],
+            }
         )
 
     return generate
@@ -147,11 +156,11 @@ outcomes AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text AS summary, ori
     total_words AS word_count_simplified, reading_level, trim(text) AS key_point,
     CASE WHEN original = '' THEN '{lifecycle.NO_TEXT}' WHEN length(text) < {SHORT} THEN 'too short' END AS error,
     CAST(0.5 AS DOUBLE) + CASE WHEN length(text) > 50 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
-      + CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE) AS confidence_score
+      + CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE) AS confidence_score
   FROM measured)"""
 
 
-def _processed(spark, sf_dir, items):
+def _processed(spark, sf_dir, items, ledger=None):
     return lifecycle.process(
         items,
         document_metadata(spark, sf_dir),
@@ -159,6 +168,7 @@ def _processed(spark, sf_dir, items):
         stand_in(prompts.DOCUMENT_MARK),
         lifecycle.new_workdir(spark, "process"),
         as_of=AS_OF,
+        ledger=ledger,
     )
 
 
@@ -175,16 +185,17 @@ def _all_documents(spark, sf_dir):
     "job2_simplified_documents",
     f"""WITH {_OUTCOMES}
 SELECT o.document_id, m.filename AS original_filename, summary, key_point AS key_points, 'review' AS next_steps,
+  'length=' || length(summary) AS terms, 'within ' || length(summary) || ' days' AS deadlines_obligations,
+  CASE WHEN length(summary) > 1000 THEN 'long' ELSE '' END AS warnings,
   {_LEVEL} AS simplification_level, confidence_score, CASE WHEN lang = 'en' THEN original END AS original_text,
   word_count_original, word_count_simplified, reading_level, {_AS_OF} AS processing_timestamp
 FROM outcomes o JOIN ({METADATA_SQL}) m USING (document_id) WHERE error IS NULL""",
 )
 def job2(spark, sf_dir):
     out = _processed(spark, sf_dir, _all_documents(spark, sf_dir)).simplified
-    flat = {n: F.array_join(n, "|") for n in ("key_points", "next_steps")}
-    return out.withColumns(flat).drop(
-        "batch_id", "position", "important_terms", "deadlines_obligations", "warnings"
-    )
+    lists = ("key_points", "next_steps", "deadlines_obligations", "warnings")
+    flat = out.withColumns({n: F.array_join(n, "|") for n in lists})
+    return flat.select("*", _flat_terms()).drop("batch_id", "position", "important_terms")
 
 
 @query(
@@ -231,13 +242,59 @@ def job2_events(spark, sf_dir):
     )
 
 
+# The first run takes the English documents, the second all of them: only calls are made that the
+# first one did not finish, and equal texts share theirs.
+_LATER = f"""WITH {_OUTCOMES},
+calls AS (SELECT document_id, error, lang = 'en' AS earlier, {_LEVEL} AS simplification_level,
+    md5(original) || ' ' || {_LEVEL} || ' ' || {_AUDIENCE} AS call FROM outcomes WHERE original <> ''),
+finished AS (SELECT DISTINCT call FROM calls WHERE earlier AND error IS NULL)
+"""
+
+
+@query(
+    "job2_calls_of_a_second_run",
+    _LATER
+    + """SELECT simplification_level, count(DISTINCT call) FILTER (earlier) AS calls_before,
+  count(DISTINCT call) FILTER (call NOT IN (SELECT call FROM finished)) AS calls_now,
+  count(*) FILTER (error IS NULL) AS documents
+FROM calls GROUP BY 1""",
+)
+def job2_second_run(spark, sf_dir):
+    ledger = Ledger(lifecycle.new_workdir(spark, "ledger"))
+    everything = _all_documents(spark, sf_dir)
+    first = _processed(spark, sf_dir, everything.filter("include_original"), ledger)
+    second = _processed(spark, sf_dir, everything, ledger)
+
+    def per_level(rows, name):
+        return rows.groupBy("simplification_level").agg(F.count("*").alias(name))
+
+    out = per_level(second.simplified, "documents")
+    for rows, name in ((first.calls, "calls_before"), (second.calls, "calls_now")):
+        out = out.join(per_level(rows, name), "simplification_level", "left")
+    return out.na.fill(0)
+
+
+@query(
+    "job2_not_yet_processed",
+    _LATER
+    + """SELECT document_id FROM outcomes WHERE original = ''
+UNION ALL SELECT document_id FROM calls WHERE call NOT IN (SELECT call FROM finished)""",
+)
+def job2_open(spark, sf_dir):
+    ledger = Ledger(lifecycle.new_workdir(spark, "ledger"))
+    everything = _all_documents(spark, sf_dir)
+    _processed(spark, sf_dir, everything.filter("include_original"), ledger)
+    return lifecycle.not_yet_processed(everything, texts(spark, sf_dir), ledger).select("document_id")
+
+
 # --- batches ---------------------------------------------------------------
 
 # Each user's clicks are a batch; some name a document that does not exist.
 _ITEMS = [
     "CAST(user_id AS VARCHAR(20)) AS batch_id",
     "event_id AS position",
-    "CASE WHEN k % 10 = 9 THEN 'missing-' || CAST(k AS VARCHAR(20)) ELSE CAST(k AS VARCHAR(20)) END AS document_id",
+    "CASE WHEN k % 10 = 9 THEN 'missing-' || CAST(k AS VARCHAR(20)) WHEN k % 50 <> 4 THEN CAST(k AS VARCHAR(20))"
+    " END AS document_id",
 ]
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k"
 _ITEMS_SQL = f"SELECT {', '.join(_ITEMS)} FROM (SELECT *, {_K} FROM events) e"
@@ -260,7 +317,8 @@ def jn2(spark, sf_dir):
 
 _BATCH = f"""WITH {_OUTCOMES}, items AS ({_ITEMS_SQL}),
 done AS (SELECT i.batch_id, i.position, i.document_id, word_count_simplified, confidence_score, reading_level,
-  CASE WHEN o.document_id IS NULL THEN '{batch.NOT_FOUND}' ELSE o.error END AS error
+  CASE WHEN o.document_id IS NULL THEN '{batch.NOT_FOUND}' ELSE o.error END AS error,
+  coalesce(o.original <> '', FALSE) AS called
   FROM items i LEFT JOIN outcomes o ON o.document_id = i.document_id)
 """
 
@@ -281,23 +339,27 @@ def job3(spark, sf_dir):
 
 @query(
     "job3_batch_errors",
-    _BATCH + "SELECT batch_id, position, document_id, error AS detail FROM done WHERE error IS NOT NULL",
+    _BATCH
+    + """SELECT batch_id, position, document_id, error AS detail,
+  'Failed to process document ' || coalesce(document_id, '(no id)') AS message FROM done WHERE error IS NOT NULL""",
 )
 def job3_errors(spark, sf_dir):
     out = _processed(spark, sf_dir, _items(spark, sf_dir)).errors
-    return out.select("batch_id", "position", "document_id", "detail")
+    return out.select("batch_id", "position", "document_id", "detail", "message")
 
 
 @query(
     "agg12_batch_summary",
     _BATCH
     + """SELECT batch_id, count(*) AS total_documents,
-  CAST(count_if(error IS NULL) AS BIGINT) AS processed_documents, count(error) AS failed_documents
+  CAST(count_if(error IS NULL) AS BIGINT) AS processed_documents, count(error) AS failed_documents,
+  count_if(called) > 0 AS took_time
 FROM done GROUP BY batch_id""",
 )
 def agg12(spark, sf_dir):
     out = _processed(spark, sf_dir, _items(spark, sf_dir)).summary
-    return out.drop("processing_time")
+    # How long calls take differs from run to run.
+    return out.withColumn("took_time", F.col("processing_time") > 0).drop("processing_time")
 
 
 # --- questions -------------------------------------------------------------
@@ -355,6 +417,15 @@ def job4_events(spark, sf_dir):
     )
 
 
+@query(
+    "job4_distinct_calls",
+    _QA
+    + """SELECT question, count(DISTINCT md5(original)) AS calls FROM answered WHERE found AND original <> '' GROUP BY 1""",
+)
+def job4_calls(spark, sf_dir):
+    return _asked(spark, sf_dir).calls.groupBy("question").agg(F.count("*").alias("calls"))
+
+
 # What a model might say: the turns of the conversations, some of them blank.
 _SAID = "CASE WHEN role = 'user' THEN ' ' || text || chr(10) WHEN turn % 4 = 1 THEN '  ' ELSE text END"
 
@@ -375,6 +446,13 @@ def fn18(spark, sf_dir):
     )
 
 
+# What this caller tells its model.
+GUIDANCE = prompts.Guidance(
+    {"basic": "Two sentences.", "standard": "One page.", "detailed": "Clause by clause."},
+    {"general_public": "Readers at large.", "business_owners": "Owners of a firm.", "students": "A seminar."},
+)
+
+
 def _prompt_sql() -> str:
     def table_case(column: str, values: dict, default: str) -> str:
         arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items())
@@ -386,9 +464,9 @@ def _prompt_sql() -> str:
     )
     return f"""SELECT CAST(doc_id AS VARCHAR) AS document_id,
   '{prompts.TASK}' || chr(10) || chr(10) || 'SIMPLIFICATION LEVEL: ' || upper(simplification_level) || chr(10)
-  || {table_case('simplification_level', prompts.LEVEL_GUIDANCE, prompts.DEFAULT_LEVEL)} || chr(10) || chr(10)
+  || {table_case('simplification_level', GUIDANCE.levels, prompts.DEFAULT_LEVEL)} || chr(10) || chr(10)
   || 'TARGET AUDIENCE: ' || {title} || chr(10)
-  || {table_case('target_audience', prompts.AUDIENCE_GUIDANCE, prompts.DEFAULT_AUDIENCE)} || chr(10) || chr(10)
+  || {table_case('target_audience', GUIDANCE.audiences, prompts.DEFAULT_AUDIENCE)} || chr(10) || chr(10)
   || '{prompts.RESPONSE_CONTRACT}' || chr(10) || chr(10) || 'DOCUMENT TO SIMPLIFY:' || chr(10) || cleaned AS prompt
 FROM (SELECT *, {_LEVEL} AS simplification_level, {_AUDIENCE} AS target_audience FROM ({normalised_check('documents')}) n) p"""
 
@@ -402,17 +480,17 @@ def fn16(spark, sf_dir):
         f"{_LEVEL} AS simplification_level", f"{_AUDIENCE} AS target_audience",
     )
     prompt = prompts.simplification_prompt(
-        normalise(F.col("text")), F.col("simplification_level"), F.col("target_audience")
+        normalise(F.col("text")), F.col("simplification_level"), F.col("target_audience"), GUIDANCE
     )
     return rows.select("document_id", prompt.alias("prompt"))
 
 
 @query(
     "jn5_guidance_lookup",
-    f"""SELECT doc_id, CASE simplification_level {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.LEVEL_GUIDANCE.items())}
-    ELSE '{prompts.LEVEL_GUIDANCE[prompts.DEFAULT_LEVEL]}' END AS level_guidance,
-  CASE target_audience {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.AUDIENCE_GUIDANCE.items())}
-    ELSE '{prompts.AUDIENCE_GUIDANCE[prompts.DEFAULT_AUDIENCE]}' END AS audience_guidance
+    f"""SELECT doc_id, CASE simplification_level {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in GUIDANCE.levels.items())}
+    ELSE '{GUIDANCE.levels[prompts.DEFAULT_LEVEL]}' END AS level_guidance,
+  CASE target_audience {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in GUIDANCE.audiences.items())}
+    ELSE '{GUIDANCE.audiences[prompts.DEFAULT_AUDIENCE]}' END AS audience_guidance
 FROM (SELECT doc_id, {_LEVEL} AS simplification_level, {_AUDIENCE} AS target_audience FROM documents) p""",
 )
 def jn5(spark, sf_dir):
@@ -421,8 +499,8 @@ def jn5(spark, sf_dir):
     )
     return rows.select(
         "doc_id",
-        prompts.level_guidance(F.col("simplification_level")).alias("level_guidance"),
-        prompts.audience_guidance(F.col("target_audience")).alias("audience_guidance"),
+        prompts.level_guidance(F.col("simplification_level"), GUIDANCE).alias("level_guidance"),
+        prompts.audience_guidance(F.col("target_audience"), GUIDANCE).alias("audience_guidance"),
     )
 
 

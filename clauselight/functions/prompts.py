@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,17 +18,19 @@ TASK = (
     "write plainly, and cover what the document is for, the terms it relies on, "
     "dates and duties, risks, and what the reader should do next."
 )
-LEVEL_GUIDANCE = {
-    "basic": "Give only the essentials in short everyday sentences, without legal terms.",
-    "standard": "Explain the main ideas in plain language and keep the important details.",
-    "detailed": "Go through the clauses and terms in depth and say what each one implies.",
-}
-AUDIENCE_GUIDANCE = {
-    "general_public": "Assume no prior knowledge and explain every legal term.",
-    "business_owners": "Stress what it means for a business: exposure, duties and openings.",
-    "individuals": "Stress personal rights and duties and their practical effect.",
-    "students": "Add background and illustrate legal ideas with examples.",
-}
+
+
+class Guidance(NamedTuple):
+    """What to tell the model for each level and audience; both tables hold the defaults' keys."""
+
+    levels: Mapping[str, str]
+    audiences: Mapping[str, str]
+
+
+PLAIN = Guidance(
+    {DEFAULT_LEVEL: "Keep to the level named above."},
+    {DEFAULT_AUDIENCE: "Write for the readers named above."},
+)
 # The contract the response reader relies on.
 RESPONSE_CONTRACT = (
     "Answer with one JSON object holding exactly these fields:\n"
@@ -42,38 +47,40 @@ APOLOGY = "I'm sorry, I couldn't find the answer in the document."
 ANSWERED, UNANSWERED = 0.7, 0.3
 
 
-def lookup(key: Column, table: dict[str, str], default: str) -> Column:
+def lookup(key: Column, table: Mapping[str, str], default: str) -> Column:
     """A fixed table as an expression; an unknown or missing key takes the default."""
-    chain = None
+    chain = F.lit(table[default])
     for name, value in table.items():
-        hit = key == name
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain.otherwise(table[default])
+        if name != default:
+            chain = F.when(key == name, value).otherwise(chain)
+    return chain
 
 
-def level_guidance(level: Column) -> Column:
-    return lookup(level, LEVEL_GUIDANCE, DEFAULT_LEVEL)
+def level_guidance(level: Column, guidance: Guidance = PLAIN) -> Column:
+    return lookup(level, guidance.levels, DEFAULT_LEVEL)
 
 
-def audience_guidance(audience: Column) -> Column:
-    return lookup(audience, AUDIENCE_GUIDANCE, DEFAULT_AUDIENCE)
+def audience_guidance(audience: Column, guidance: Guidance = PLAIN) -> Column:
+    return lookup(audience, guidance.audiences, DEFAULT_AUDIENCE)
 
 
 def audience_title(audience: Column) -> Column:
     return F.initcap(F.replace(audience, F.lit("_"), F.lit(" ")))
 
 
-def simplification_prompt(cleaned: Column, level: Column, audience: Column) -> Column:
+def simplification_prompt(
+    cleaned: Column, level: Column, audience: Column, guidance: Guidance = PLAIN
+) -> Column:
     """Prompt for a text already cleaned by ``normalise``."""
     return F.concat(
         F.lit(TASK + "\n\nSIMPLIFICATION LEVEL: "),
         F.upper(level),
         F.lit("\n"),
-        level_guidance(level),
+        level_guidance(level, guidance),
         F.lit("\n\nTARGET AUDIENCE: "),
         audience_title(audience),
         F.lit("\n"),
-        audience_guidance(audience),
+        audience_guidance(audience, guidance),
         F.lit("\n\n" + RESPONSE_CONTRACT + "\n\n" + DOCUMENT_MARK),
         cleaned,
     )

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from clauselight import schemas
 from clauselight.functions import events, extraction, prompts, response
-from clauselight.functions.generation import generated
 from clauselight.functions.records import metadata_rows, result_rows
-from clauselight.functions.text import normalise, with_reading_level, word_count
+from clauselight.functions.text import normalise, with_reading_level
 from clauselight.operators import batch, intake, keyed
 from clauselight.operators.skew import salted_join
+from clauselight.plans import calls
+from clauselight.plans.calls import Ledger
 
 NO_TEXT = "Could not extract text from document"
 UNREADABLE = "Could not read the generated response"
@@ -147,6 +148,8 @@ class Processed(NamedTuple):
     events: DataFrame
     changes: DataFrame
     summary: DataFrame
+    #: The calls that this run had to make.
+    calls: DataFrame
 
 
 def _request_key() -> Column:
@@ -179,6 +182,39 @@ def _requests(items: DataFrame) -> DataFrame:
     ).withColumn("request", _request_key())
 
 
+def _answered(
+    staged: DataFrame,
+    texts: DataFrame,
+    prompt: Callable[[Column, Column], Column],
+    generate: Generate,
+    workdir: str,
+    ledger: Ledger,
+    tasks: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of all calls in ``staged`` (call, document_id, text_bytes, ask), and the calls made.
+
+    Equal calls are one; those in the ledger are not made again.
+    """
+    spark = staged.sparkSession
+    wanted = (
+        staged.filter("call IS NOT NULL").groupBy("call")
+        .agg(F.min_by(F.struct("document_id", "text_bytes", "ask"), "document_id").alias("c"))
+        .select("call", "c.*")
+    )
+    finished = ledger.opened(spark).filter("NOT failed").select("call")
+    new = _written(wanted.join(finished, "call", "left_anti"), f"{workdir}/calls")
+    groups = _written(calls.grouped(new, tasks), f"{workdir}/groups")
+    run = ledger.add(calls.make(groups, texts, prompt, generate, tasks))
+    return ledger.outcomes(spark, staged.filter("call IS NOT NULL"), run), new
+
+
+def _simplification_key(ledger: Ledger, guidance: prompts.Guidance) -> Column:
+    """The call's name: all that its prompt and its answer depend on."""
+    level, audience = F.col("simplification_level"), F.col("target_audience")
+    told = prompts.level_guidance(level, guidance), prompts.audience_guidance(audience, guidance)
+    return calls.key(F.lit("simplify"), F.lit(ledger.version), F.col("text_hash"), level, audience, *told)
+
+
 def process(
     items: DataFrame,
     metadata: DataFrame,
@@ -188,6 +224,8 @@ def process(
     *,
     as_of: datetime | None = None,
     parallelism: int | None = None,
+    ledger: Ledger | None = None,
+    guidance: prompts.Guidance = prompts.PLAIN,
 ) -> Processed:
     """Simplify the requested documents, one row per requested item.
 
@@ -195,58 +233,45 @@ def process(
     request options; ``texts`` holds document_id and text. A document that
     cannot be processed fails its own items only.
 
-    Items asking for the same work share one model call: they collapse before
-    the texts are joined, so a document requested very often is read and sent
-    once. The join with the texts runs in ``parallelism`` tasks (default: the
-    session's shuffle partitions), since the calls that follow cost far more
-    than the size of their input suggests.
+    Items that ask for the same work share one call, also if they do so for
+    different documents of the same text. With a ``ledger`` that other runs use too, only calls
+    that none of them finished are made. Calls run in ``parallelism`` tasks (default: the
+    session's shuffle partitions) of about equal bytes, however many options
+    one document is asked for.
     """
-    tasks = parallelism or _shuffle_partitions(items.sparkSession)
+    spark = items.sparkSession
+    tasks = parallelism or _shuffle_partitions(spark)
+    ledger = ledger or Ledger(f"{workdir}/ledger")
     requests = _requests(items)
     work = requests.groupBy(
         "request", "document_id", "simplification_level", "target_audience"
     ).agg(F.max("include_original").alias("_keep"))
     known = keyed.latest_metadata(metadata).select(
         "document_id",
-        "filename",
+        F.col("filename").alias("original_filename"),
         "user_id",
         F.col("processing_timestamp").alias("_processed_before"),
         F.col("processed_path").alias("_path_before"),
         F.lit(True).alias("_found"),
     )
-    staged = (
+    error = F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(F.col("text_hash").isNull(), NO_TEXT)
+    # Ids, options and checksums: no text moves yet.
+    staged = _written(
         work.join(known, "document_id", "left")
-        .repartition(tasks, "document_id")
-        .join(
-            texts.select("document_id", "text").repartition(tasks, "document_id"),
-            "document_id",
-            "left",
-        )
-        .withColumn(
-            "error",
-            F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(
-                F.coalesce(F.col("text"), F.lit("")) == "", NO_TEXT
-            ),
-        )
-        .withColumn("_cleaned", F.when(F.col("error").isNull(), normalise(F.col("text"))))
-        .withColumn(
-            "_prompt",
-            prompts.simplification_prompt(
-                F.col("_cleaned"), F.col("simplification_level"), F.col("target_audience")
-            ),
-        )
-        .withColumn("word_count_original", word_count(F.col("text")))
-        .withColumn("original_text", F.when(F.col("_keep"), F.col("text")))
-        .drop("text", "_cleaned", "_keep")
-    )
-    called = staged.withColumn("_outcome", generated(F.col("_prompt"), generate)).select(
-        *[c for c in staged.columns if c not in ("_prompt", "error")],
-        F.coalesce("error", "_outcome.error").alias("error"),
-        F.col("_outcome.response").alias("response"),
-        F.col("_outcome.seconds").alias("processing_time"),
-        _at(as_of).alias("processing_timestamp"),
+        .join(calls.text_facts(texts), "document_id", "left")
+        .withColumn("staged_error", error)
+        .withColumn("call", F.when(F.col("staged_error").isNull(), _simplification_key(ledger, guidance)))
+        .withColumn("ask", F.struct("simplification_level", "target_audience"))
+        .withColumn("processing_timestamp", _at(as_of)),
+        f"{workdir}/requests",
     )
-    structured = response.with_structure(called).withColumn(
+
+    def prompt(text: Column, ask: Column) -> Column:
+        level, audience = ask["simplification_level"], ask["target_audience"]
+        return prompts.simplification_prompt(normalise(text), level, audience, guidance)
+
+    responses, new = _answered(staged, texts, prompt, generate, workdir, ledger, tasks)
+    structured = response.with_structure(responses).withColumn(
         "error", F.coalesce("error", F.when(F.col("parse_path") == "error", UNREADABLE))
     )
     scored = with_reading_level(
@@ -254,26 +279,37 @@ def process(
         "summary",
         words="word_count_simplified",
     )
-    # Calls and structure are paid for once; all outputs read this table.
+    # Structure is paid for once; all outputs read this table.
     outcomes = _written(
-        scored.withColumnRenamed("filename", "original_filename"), f"{workdir}/outcomes"
+        scored.withColumnsRenamed({"seconds": "processing_time", "words": "word_count_original"}),
+        f"{workdir}/outcomes",
+    )
+    originals = texts.select("document_id", F.col("text").alias("_text")).join(
+        staged.filter("_keep AND call IS NOT NULL").select("document_id").distinct(), "document_id", "left_semi"
+    )
+    per_request = (
+        salted_join(staged, outcomes, "call", "left")
+        .withColumn("error", F.coalesce("staged_error", "error"))
+        .drop("staged_error", "ask", "text_hash", "text_bytes")
     )
 
     # Per item again: what each request asked for, in request order.
     asked = requests.select("request", "batch_id", "position", "include_original")
-    per_item = salted_join(asked, outcomes, "request", "left").withColumn(
-        "original_text", F.when(F.col("include_original"), F.col("original_text"))
+    per_item = salted_join(asked, per_request, "request", "left")
+    kept = F.when(F.col("include_original"), F.col("_text"))
+    with_text = salted_join(per_item, originals, "document_id", "left", keys_from=requests).withColumn(
+        "original_text", kept
     )
-    done, failed = per_item.filter("error IS NULL"), per_item.filter("error IS NOT NULL")
-    simplified = done.select(
+    simplified = with_text.filter("error IS NULL").select(
         "batch_id", "position", *schemas.columns(schemas.SIMPLIFIED_DOCUMENTS)
     )
+    done, failed = per_item.filter("error IS NULL"), per_item.filter("error IS NOT NULL")
     errors = failed.select(
         "batch_id",
         "position",
         "document_id",
         F.lit("processing_error").alias("error"),
-        F.concat(F.lit("Failed to process document "), "document_id").alias("message"),
+        F.concat(F.lit("Failed to process document "), F.coalesce("document_id", F.lit("(no id)"))).alias("message"),
         F.col("error").alias("detail"),
         F.col("processing_timestamp").alias("timestamp"),
     )
@@ -283,8 +319,9 @@ def process(
         results=result_rows(done),
         errors=errors,
         events=events.processing(done.withColumn("timestamp", F.col("processing_timestamp"))),
-        changes=_changes(outcomes),
+        changes=_changes(per_request),
         summary=batch.batch_summary(per_item.select("batch_id", "error", "processing_time")),
+        calls=new.select("call", "document_id", "ask.*"),
     )
 
 
@@ -313,16 +350,31 @@ def mark_processing(metadata: DataFrame, items: DataFrame) -> DataFrame:
     return keyed.update_metadata(metadata, taken)
 
 
-def not_yet_processed(items: DataFrame, results: DataFrame) -> DataFrame:
-    """Items whose document has no result yet, for an incremental run."""
-    seen = results.select("document_id").distinct()
-    return salted_join(items, seen, "document_id", "left_anti")
+def not_yet_processed(
+    items: DataFrame,
+    texts: DataFrame,
+    ledger: Ledger,
+    guidance: prompts.Guidance = prompts.PLAIN,
+) -> DataFrame:
+    """Items whose call no run has finished, for an incremental run.
+
+    A changed text, another option or another version of the generator is new work;
+    documents without text stay, as nothing was called for them.
+    """
+    requests = _requests(items)
+    named = salted_join(requests, calls.text_facts(texts), "document_id", "left").withColumn(
+        "call", F.when(F.col("text_hash").isNotNull(), _simplification_key(ledger, guidance))
+    )
+    finished = ledger.opened(items.sparkSession).filter("NOT failed").select("call").distinct()
+    return salted_join(named, finished, "call", "left_anti").drop("request", "text_hash", "text_bytes", "call")
 
 
 class Answered(NamedTuple):
     answers: DataFrame
     errors: DataFrame
     events: DataFrame
+    #: The calls that this run had to make.
+    calls: DataFrame
 
 
 def ask(
@@ -334,47 +386,48 @@ def ask(
     *,
     as_of: datetime | None = None,
     parallelism: int | None = None,
+    ledger: Ledger | None = None,
 ) -> Answered:
     """Answer questions about documents; a failed call gets the apology.
 
     ``questions`` holds question_id, document_id and question, and optionally
-    target_audience. A document may be asked about any number of times, so its
-    text is repeated over the tasks that need it rather than gathered in one.
-    Calls run in ``parallelism`` tasks (default: the shuffle partitions).
+    target_audience. Equal questions about equal texts for one audience are one
+    call. A document may be asked about any number of times: its questions travel in groups,
+    each with one copy of the text, over ``parallelism`` tasks (default: the shuffle partitions).
+    With a ``ledger`` that other runs use too, answers they got are reused.
     """
+    spark = questions.sparkSession
+    tasks = parallelism or _shuffle_partitions(spark)
+    ledger = ledger or Ledger(f"{workdir}/ledger")
     if "target_audience" not in questions.columns:
         questions = questions.withColumn("target_audience", F.lit(AUDIENCE))
     documents = (
         keyed.latest_metadata(metadata)
         .select("document_id", F.lit(True).alias("_found"))
-        .join(texts.select("document_id", "text"), "document_id", "left")
+        .join(calls.text_facts(texts), "document_id", "left")
     )
-    tasks = parallelism or _shuffle_partitions(questions.sparkSession)
-    # Spread after the join: adaptive execution packs joined rows by bytes, and
-    # each row is a call.
-    asked = salted_join(questions, documents, "document_id", "left").repartition(
-        tasks, "question_id"
-    ).withColumn(
-        "error",
-        F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(
-            F.coalesce(F.col("text"), F.lit("")) == "", NO_TEXT
-        ),
+    error = F.when(F.col("_found").isNull(), batch.NOT_FOUND).when(F.col("text_hash").isNull(), NO_TEXT)
+    call = calls.key(
+        F.lit("answer"), F.lit(ledger.version), F.col("text_hash"), F.col("question"), F.col("target_audience")
     )
-    prompt = prompts.question_prompt(F.col("text"), F.col("question"), F.col("target_audience"))
-    called = (
-        asked.withColumn("_prompt", F.when(F.col("error").isNull(), prompt))
-        .withColumn("_outcome", generated(F.col("_prompt"), generate))
+    # No text moves yet.
+    staged = _written(
+        salted_join(questions, documents, "document_id", "left")
+        .withColumn("error", error)
+        .withColumn("call", F.when(F.col("error").isNull(), call))
         .select(
-            "question_id",
-            "document_id",
-            "question",
-            "error",
-            F.col("_outcome.response").alias("response"),
-            _at(as_of).alias("timestamp"),
-        )
-    )
-    stored = _written(called, f"{workdir}/answers")
-    answers = stored.filter("error IS NULL").select(
+            "question_id", "document_id", "question", "error", "call", "text_bytes",
+            F.struct("question", "target_audience").alias("ask"), _at(as_of).alias("timestamp"),
+        ),
+        f"{workdir}/questions",
+    )
+
+    def prompt(text: Column, ask: Column) -> Column:
+        return prompts.question_prompt(text, ask["question"], ask["target_audience"])
+
+    outcomes, new = _answered(staged, texts, prompt, generate, workdir, ledger, tasks)
+    responses = _written(outcomes.select("call", "response"), f"{workdir}/responses")
+    answers = salted_join(staged.filter("error IS NULL"), responses, "call", "left").select(
         "question_id",
         "document_id",
         "question",
@@ -384,10 +437,11 @@ def ask(
     )
     return Answered(
         answers=answers.drop("timestamp"),
-        errors=stored.filter("error IS NOT NULL").select(
+        errors=staged.filter("error IS NOT NULL").select(
             "question_id", "document_id", "question", "error"
         ),
         events=events.questions(answers),
+        calls=new.select("call", "document_id", "ask.*"),
     )
 
 
