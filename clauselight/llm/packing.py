@@ -52,60 +52,67 @@ class Phase:
     ``taken`` and ``first`` say how many tokens and windows came before the phase.
     """
 
-    parts: list[int]
+    parts: np.ndarray
     tokens: int
     taken: np.ndarray
     first: int
     window: int
 
     def __post_init__(self):
-        self.total = sum(self.parts)
-        self.ahead = [self.total * (i * 40503 % 65536) // 65536 for i in range(len(self.parts))]
-        self.known: dict[int, list[int]] = {}
-        self.end = self.taken + np.array(self.due(self.tokens), np.int64)
-
-    def _at(self, tick: int) -> list[int]:
-        return [(tick * p + a) // self.total for p, a in zip(self.parts, self.ahead)]
-
-    def due(self, n: int) -> list[int]:
-        """Tokens of every queue among the first ``n`` of the phase."""
-        low, high = max(0, n - len(self.parts)), n + len(self.parts)
-        while low < high:
+        self.parts = np.asarray(self.parts, np.int64)
+        self.total = int(self.parts.sum())
+        self.share = self.parts / self.total
+        ahead = [self.total * (i * 40503 % 65536) // 65536 for i in range(len(self.parts))]
+        self.ahead = np.array(ahead, np.int64)
+        self.end = self.taken + self.due(np.array([self.tokens]))[0]
+
+    def _at(self, ticks: np.ndarray) -> np.ndarray:
+        """What queues are due at each tick, exactly.
+
+        The quotient is estimated in doubles; the remainder of the estimate, taken modulo
+        2 ** 64, is small and sets it right (the total is below 2 ** 61).
+        """
+        t = ticks[:, None]
+        guess = np.floor(t * self.share).astype(np.int64)
+        with np.errstate(over="ignore"):
+            rest = t * self.parts + self.ahead - guess * self.total
+        return guess + rest // self.total
+
+    def due(self, n: np.ndarray) -> np.ndarray:
+        """Tokens of every queue among the first ``n`` of the phase, one row for each ``n``."""
+        n = np.asarray(n, np.int64)
+        low, high = np.maximum(0, n - len(self.parts)), n + len(self.parts)
+        while (low < high).any():
             middle = (low + high) // 2
-            if sum(self._at(middle)) >= n:
-                high = middle
-            else:
-                low = middle + 1
-        if low == 0:
-            return [0] * len(self.parts)
-        counts = self._at(low - 1)
-        more = n - sum(counts)
-        for i, later in enumerate(self._at(low)):
-            if more and later > counts[i]:
-                counts[i] += 1
-                more -= 1
-        return counts
-
-    def before(self, k: int) -> list[int]:
-        """Tokens of every queue before window ``k`` of the phase."""
-        if k not in self.known:
-            if len(self.known) >= 4096:
-                self.known.clear()
-            self.known[k] = self.due(min(k * self.window, self.tokens))
-        return self.known[k]
+            enough = self._at(middle).sum(axis=1) >= n
+            high, low = np.where(enough, middle, high), np.where(enough, low, middle + 1)
+        counts = self._at(np.maximum(low - 1, 0))
+        # Of the tick that completes n, queues in order as long as tokens are wanted.
+        later = self._at(low) > counts
+        more = n - counts.sum(axis=1)
+        counts += later & (np.cumsum(later, axis=1) <= more[:, None])
+        return np.where(n[:, None] > 0, counts, 0)
+
+    def before(self, first: int, last: int) -> np.ndarray:
+        """Tokens of every queue before the windows ``first`` to ``last`` of the phase."""
+        k = np.arange(first, last + 1)
+        return self.due(np.minimum(k * self.window, self.tokens))
 
     def window_of(self, queue: int, at: int) -> int:
         """The window that holds the queue's token ``at`` of the phase."""
-        tick = -(-((at + 1) * self.total - self.ahead[queue]) // self.parts[queue])
+        part, ahead = int(self.parts[queue]), int(self.ahead[queue])
+        tick = -(-((at + 1) * self.total - ahead) // part)
         # Tokens due before the tick, and those of the tick before this queue's.
-        earlier, then = self._at(tick - 1), self._at(tick)
-        return (sum(earlier) + sum(then[:queue]) - sum(earlier[:queue])) // self.window
+        earlier, then = self._at(np.array([max(0, tick - 1), tick]))
+        if tick == 0:
+            earlier = np.zeros_like(then)
+        return int(earlier.sum() + (then - earlier)[:queue].sum()) // self.window
 
     @property
     def counts(self) -> np.ndarray:
         """Tokens of every queue in the first windows."""
         n = min(-(-self.tokens // self.window), WINDOWS_PER_ROUND)
-        return np.diff(np.array([self.before(k) for k in range(n + 1)], np.int64), axis=0)
+        return np.diff(self.before(0, n), axis=0)
 
 
 def _whole_shares(weights: np.ndarray, total: int, most: np.ndarray) -> np.ndarray:
@@ -126,15 +133,15 @@ def _whole_shares(weights: np.ndarray, total: int, most: np.ndarray) -> np.ndarr
     return shares
 
 
-def _parts(weights: np.ndarray, left: np.ndarray) -> list[int]:
+def _parts(weights: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Whole numbers in the proportion of the weights of queues that have tokens left."""
     live = np.where(left > 0, weights, 0.0)
     if not live.any():  # only queues without a weight are left
         live = left.astype(float)
     if (live == left).all():
-        return [int(x) for x in left]
-    scale = 2.0**60 / live.max()
-    return [max(1, round(float(x) * scale)) if x > 0 else 0 for x in live]
+        return left.copy()
+    parts = np.rint(live * (2.0**60 / live.sum())).astype(np.int64)
+    return np.where(live > 0, np.maximum(1, parts), 0)
 
 
 def schedule(
@@ -150,48 +157,66 @@ def schedule(
     while (left := totals - taken).any():
         parts = _parts(weights, left)
         size = int(left.sum())
-
-        def fits(n):
-            phase = Phase(parts, n, taken, first, window)
-            return bool((phase.end <= totals).all())
-
-        low, high = 0, -(-size // window)
-        while low < high:
-            middle = (low + high + 1) // 2
-            if fits(min(middle * window, size)):
-                low = middle
-            else:
-                high = middle - 1
-        if low:
-            phase = Phase(parts, min(low * window, size), taken, first, window)
+        phase, most = None, -(-size // window)
+        share = parts / parts.sum()
+        # The first queue to run out does so about here; quotas are within tokens of it.
+        full = np.min(left[parts > 0] / share[parts > 0])
+        k = int(min(most, full // window + 2))
+        while k > 0:
+            phase = Phase(parts, min(k * window, size), taken, first, window)
+            if (phase.end <= totals).all():
+                break
+            over = int(((phase.end - totals) / np.maximum(share, 1e-300)).max() // window)
+            k -= max(1, min(over - 2, k))
+        if k > 0:
             phases.append(phase)
-            taken, first = phase.end, first + low
+            taken, first = phase.end, first + k
             continue
         # Some queue can't fill its share of the next window: it gives what it has.
         n = min(window, size)
-        shares = _whole_shares(np.asarray(parts, float), n, left)
-        phase = Phase([int(x) for x in shares], n, taken, first, window)
+        shares = _whole_shares(parts.astype(float), n, left)
+        phase = Phase(shares, n, taken, first, window)
         phases.append(phase)
         taken, first = phase.end, first + 1
     return phases
 
 
-def cut(phases: list[Phase], queue: int, at: int, n: int):
-    """(start, length, window, place) of the pieces of ``n`` tokens at queue position ``at``."""
-    end, i = at + n, bisect_right([int(p.end[queue]) for p in phases], at)
-    start = at
-    while at < end:
+# Windows whose shares are worked out together.
+BLOCK_WINDOWS = 256
+
+
+def cut(phases: list[Phase], queue: int, at: np.ndarray, n: np.ndarray):
+    """Pieces of documents of ``n`` tokens at the queue's positions ``at``, which ascend.
+
+    Arrays (document, start in it, length, window, place in the window).
+    """
+    pieces, ends = [], [int(p.end[queue]) for p in phases]
+    position, last = (int(at[0]), int(at[-1] + n[-1])) if len(at) else (0, 0)
+    while position < last:
+        i = bisect_right(ends, position)
         p = phases[i]
-        if at >= p.end[queue]:
-            i += 1
-            continue
-        inner = at - int(p.taken[queue])
-        k = p.window_of(queue, inner)
-        before, after = p.before(k), p.before(k + 1)
-        length = min(end - at, after[queue] - inner)
-        place = sum(after[:queue]) - sum(before[:queue])
-        yield at - start, length, p.first + k, place + inner - before[queue]
-        at += length
+        k = p.window_of(queue, position - int(p.taken[queue]))
+        windows = min(BLOCK_WINDOWS, -(-p.tokens // p.window) - k)
+        before = p.before(k, k + windows)
+        edges = p.taken[queue] + before[:, queue]
+        # Where the queue's tokens begin in each window.
+        places = np.diff(before[:, :queue].sum(axis=1))
+        end = min(last, int(edges[-1]))
+        # Documents that overlap this block, and the windows that each one meets.
+        a, b = np.searchsorted(at + n, position, "right"), np.searchsorted(at, end)
+        begin, stop = np.maximum(at[a:b], position), np.minimum(at[a:b] + n[a:b], end)
+        first = np.searchsorted(edges, begin, "right") - 1
+        m = np.searchsorted(edges, stop - 1, "right") - first
+        which = np.repeat(np.arange(b - a), m)
+        w = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m) + first[which]
+        s, e = np.maximum(begin[which], edges[w]), np.minimum(stop[which], edges[w + 1])
+        real = e > s  # a window may take nothing of a small queue
+        which, w, s, e = which[real], w[real], s[real], e[real]
+        pieces.append((a + which, s - at[a + which], e - s, p.first + k + w, places[w] + s - edges[w]))
+        position = end
+    if not pieces:
+        return (np.zeros(0, np.int64),) * 5
+    return tuple(np.concatenate(x) for x in zip(*pieces))
 
 
 def _encoded(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -286,22 +311,31 @@ def pack(
 
     def pieces(batches):
         for batch in batch_rows(batches):
-            out = [[] for _ in range(9)]
-            for doc, lane_, at, n, ids in zip(
-                *(batch.column(c).to_pylist() for c in ("doc_id", "lane", "at", "n", "ids"))
-            ):
-                for start, length, seq, place in cut(phases, number[lane_], at, n):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    row = (doc, start, length, zlib.crc32(piece), n, seq, place, lane_,
-                           piece if with_ids else None)
-                    for column, value in zip(out, row):
-                        column.append(value)
-            types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(out, types)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                       "sequence_id", "offset", "queue", "ids"],
-            )
+            at, n = (batch.column(c).to_numpy() for c in ("at", "n"))
+            ids = batch.column("ids").to_pylist()
+            lanes = batch.column("lane").dictionary_encode()
+            codes = lanes.indices.to_numpy()
+            for code, lane in enumerate(lanes.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                own = own[np.argsort(at[own], kind="stable")]
+                which, start, length, window, place = cut(phases, number[lane], at[own], n[own])
+                row = own[which]
+                texts = [ids[r][a : a + m] for r, a, m in zip(row.tolist(), (4 * start).tolist(), (4 * length).tolist())]
+                yield pa.record_batch(
+                    [
+                        batch.column("doc_id").take(pa.array(row)),
+                        pa.array(start),
+                        pa.array(length),
+                        pa.array(np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))),
+                        pa.array(n[row]),
+                        pa.array(window),
+                        pa.array(place),
+                        pa.array([lane] * len(row), pa.string()),
+                        pa.array(texts if with_ids else [None] * len(row), pa.binary()),
+                    ],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
+                           "sequence_id", "offset", "queue", "ids"],
+                )
 
     placed = encoded.join(bases, ["part", "queue"]).select(
         "doc_id", "lane", (F.col("base") + F.col("at")).alias("at"), "n", "ids"

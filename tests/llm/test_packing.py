@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -55,14 +56,40 @@ def test_sources_below_a_token_a_round_enter_the_mixture():
     assert len(phases) <= 2 * len(totals) and (phases[-1].end == totals).all()
     n_windows = -(-int(totals.sum()) // 2048)
     for queue in (1, 20):
-        tenth = next(packing.cut(phases, queue, 5_000, 1))[2]
-        last = next(packing.cut(phases, queue, 49_999, 1))[2]
+        tenth, last = packing.cut(phases, queue, np.array([5_000, 49_999]), np.array([1, 1]))[3].tolist()
         assert abs(tenth / n_windows - 0.1) < 0.01 and last > 0.99 * n_windows
     # No quota departs from the target by more than a few tokens, in any run of windows.
     p = phases[0]
     for k in (1, 1000, n_windows // 2):
         due = min(k * 2048, p.tokens) * (totals / totals.sum())
-        assert np.abs(np.array(p.before(k)) - due)[1:].max() <= 1 and abs(p.before(k)[0] - due[0]) <= len(totals)
+        assert np.abs(p.before(k, k)[0] - due)[1:].max() <= 1 and abs(p.before(k, k)[0, 0] - due[0]) <= len(totals)
+
+
+def test_quotas_are_exact_for_large_numbers():
+    r = np.random.default_rng(1)
+    parts = np.r_[r.integers(1, 1 << 40, 40), 0, 1 << 58]
+    phase = packing.Phase(parts, 1 << 44, np.zeros(len(parts), np.int64), 0, 2048)
+    for n in (1, 2047, 2048, 12_345_678_901, 1 << 44):
+        [got] = phase.due(np.array([n]))
+        tick = 0 if n == 0 else n
+        plain = lambda t: [(t * int(p) + int(a)) // phase.total for p, a in zip(parts, phase.ahead)]
+        while sum(plain(tick)) >= n:
+            tick -= 1
+        while sum(plain(tick)) < n:
+            tick += 1
+        want, more = plain(tick - 1), n - sum(plain(tick - 1))
+        for i, later in enumerate(plain(tick)):
+            if more and later > want[i]:
+                want[i], more = want[i] + 1, more - 1
+        assert got.tolist() == want
+
+
+def test_many_weighted_sources_are_scheduled_soon():
+    r = np.random.default_rng(2)
+    totals, weights = r.integers(1_000, 10_000_000, 1024), r.random(1024)
+    began = time.perf_counter()
+    phases = packing.schedule(totals, weights)
+    assert time.perf_counter() - began < 10 and (phases[-1].end == totals).all()
 
 
 def test_shares_follow_weights_until_a_queue_is_used_up():
