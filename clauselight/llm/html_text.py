@@ -34,10 +34,13 @@ HINTS = re.compile(
     re.IGNORECASE,
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# What a tag holds beside its name: a quoted value may hold ">".
+_REST = r"""(?>=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
+    rf"|<title\b{_REST}>.*?(?:</title\s*>|(?=<(?:body|{'|'.join(sorted(BLOCK_TAGS))})\b)|\Z)"
+    rf"|<(script|style|textarea)\b{_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_REST})>"
     r"|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -74,7 +77,7 @@ LABELLED = """
 6 80 120 0 0 0 1 1 0 0
 18 0 70 0 22 0 1 0 1 0
 55 0 60 0 40 0 1 0 1 0
-120 0 80 0 90 0 1 0 1 1
+120 0 80 0 90 0 1 0 1 0
 5 60 100 0 18 0 1 0 1 0
 35 0 20 0 30 0 1 1 1 0
 4 100 90 0 3 100 1 0 1 0
@@ -104,12 +107,12 @@ LABELLED = """
 6 70 4 100 10 60 0 0 0 0
 12 60 3 100 2 100 0 0 0 0
 2 50 1 100 1 100 0 0 0 0
-150 0 90 0 130 0 0 0 1 1
+150 0 90 0 130 0 0 0 1 0
 200 0 10 0 100 0 1 0 1 0
-95 2 40 0 60 0 0 0 1 1
-110 0 60 0 90 0 0 1 0 1
-90 10 60 0 80 0 1 1 0 1
-180 0 70 0 95 0 0 1 1 1
+95 2 40 0 60 0 0 0 1 0
+110 0 60 0 90 0 0 1 0 0
+90 10 60 0 80 0 1 1 0 0
+180 0 70 0 95 0 0 1 1 0
 85 0 0 0 60 0 0 1 0 0
 60 0 0 0 0 0 0 0 0 1
 30 0 0 0 0 0 0 0 0 1
@@ -123,14 +126,14 @@ LABELLED = """
 1 0 1 0 2 0 1 0 0 1
 7 0 40 0 20 60 1 0 0 1
 30 0 25 0 6 80 1 0 0 1
-60 0 80 0 45 0 0 0 1 1
-45 0 50 0 120 0 0 0 1 1
-50 4 90 0 60 0 0 1 0 1
-75 0 45 0 45 3 0 1 0 1
-140 0 45 0 200 0 0 1 1 1
-48 0 60 0 50 0 1 0 1 1
-65 0 110 0 70 0 1 1 0 1
-300 0 48 0 52 0 0 0 1 1
+60 0 80 0 45 0 0 0 1 0
+45 0 50 0 120 0 0 0 1 0
+50 4 90 0 60 0 0 1 0 0
+75 0 45 0 45 3 0 1 0 0
+140 0 45 0 200 0 0 1 1 0
+48 0 60 0 50 0 1 0 1 0
+65 0 110 0 70 0 1 1 0 0
+300 0 48 0 52 0 0 0 1 0
 120 0 5 0 3 50 0 0 1 0
 70 0 4 0 2 100 0 0 1 0
 45 0 6 0 5 0 0 0 1 0
@@ -197,9 +200,9 @@ class Block:
     hinted: bool
 
 
-@dataclass
+@dataclass(eq=False)
 class _Element:
-    """An open element; ``plain`` and ``main`` count its words outside links and in main elements."""
+    """An open element; ``plain`` counts the words outside links in a main one."""
 
     name: str
     is_main: bool = False
@@ -208,7 +211,6 @@ class _Element:
     hides: bool = False
     loose: bool = False
     plain: int = 0
-    main: int = 0
 
 
 def _closed(tokens: list[re.Match]) -> set[int]:
@@ -231,32 +233,27 @@ def _closed(tokens: list[re.Match]) -> set[int]:
 def blocks(page: str) -> list[Block]:
     """Texts between block tags, in page order; blocks without text are left out.
 
-    Frames and names of an element with most of the page's words outside links
-    say nothing of its blocks, unless articles or mains lie outside it alone.
+    The frame and the name of an element that holds the page's own text say nothing of
+    its blocks; those of any other do.
     """
-    found: list[tuple[Block, list[_Element]]] = []
+    found: list[tuple[Block, list[_Element], int]] = []
     held: list[tuple[str, bool]] = []
     opened: list[_Element] = []
-    page_plain = page_main = 0
     linked = 0
     hidden = False
 
     def close_block():
-        nonlocal page_plain, page_main
         if not held:
             return
         text = " ".join(html.unescape("".join(t for t, _ in held)).split())
         if text:
             words = len(text.split())
             in_links = sum(len(html.unescape(t).split()) for t, link in held if link)
-            plain, in_main = max(0, words - in_links), any(o.is_main for o in opened)
-            page_plain += plain
-            page_main += words * in_main
-            marked = [o for o in opened if o.frames or o.hints]
-            for o in marked:
-                o.plain += plain
-                o.main += words * in_main
-            found.append((Block(text, words, min(1.0, in_links / words), in_main, False, False), marked))
+            for o in opened:
+                o.plain += max(0, words - in_links)
+            in_main = any(o.is_main for o in opened)
+            rank = next((int(o.name[1]) for o in opened if re.fullmatch("h[1-6]", o.name)), 0)
+            found.append((Block(text, words, min(1.0, in_links / words), in_main, False, False), [*opened], rank))
         held.clear()
 
     at = 0
@@ -308,12 +305,34 @@ def blocks(page: str) -> list[Block]:
     if not hidden:
         held.append((page[at:], linked > 0))
     close_block()
-    for block, marked in found:
-        for o in marked:
-            if 2 * o.plain <= page_plain or page_main and not o.main:
-                block.framed |= o.frames
-                block.hinted |= o.hints
-    return [block for block, _ in found]
+    own = _around_text(found)
+    for block, around, _ in found:
+        block.framed = any(o.frames and o not in own for o in around)
+        block.hinted = any(o.hints and o not in own for o in around)
+    return [block for block, *_ in found]
+
+
+def _around_text(found: list[tuple[Block, list[_Element], int]]) -> set[_Element]:
+    """Elements around the page's own text.
+
+    That is the article or main element with most words outside links that no frame or name
+    marks, but for such as are also around the first heading of the highest rank. Without one it is
+    that heading and the longest block not marked otherwise; only elements that hold both are around it.
+    """
+    ranks = [rank for *_, rank in found if rank]
+    headed = next((set(around) for _, around, rank in found if ranks and rank == min(ranks)), set())
+
+    def unmarked(around: list[_Element]) -> bool:
+        return not any((o.frames or o.hints) and o not in headed for o in around)
+
+    mains = {o: around[: i + 1] for _, around, _ in found for i, o in enumerate(around) if o.is_main}
+    own = [o for o, around in mains.items() if unmarked(around)]
+    if not own and not ranks:
+        own = [o for o in mains if not o.hints]
+    if own:
+        return set(mains[max(own, key=lambda o: o.plain)])
+    plain = [(b.words * (1 - b.links), around) for b, around, _ in found if unmarked(around)]
+    return headed & set(max(plain, key=lambda x: x[0])[1]) if headed and plain else set()
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -376,9 +395,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     White space within a block becomes one space, blocks are joined by an empty
     line. A page without html or without main text has the text ''. Of elements
-    that are never closed, comments, scripts, styles, titles and text areas end
-    with the page, other hidden ones at the next block tag. Other columns are
-    not read.
+    that are never closed, comments, scripts, styles and text areas end
+    with the page, titles and other hidden ones at the next block tag. Other columns are
+    not read. Rows that repeat are each returned; a very long page is read whole.
     """
     tree = train(*labelled())
 

@@ -143,13 +143,53 @@ def test_words_and_neighbours_decide():
             todo += node[2:]
     assert {"words", "links", "before", "after_links"} <= used
     main = lambda *row: html_text.is_main(tree, html_text.np.array(row, float))
-    # Marked prose between prose is main text, a comment between bylines is not.
-    assert main(80, 0, 80, 0, 80, 0, 0, 0, 1) and not main(80, 0, 4, 0, 3, 0, 0, 0, 1)
-    # So is an unmarked paragraph and a short one before links, but not "Share:" there.
+    # Marked prose is not main text, whatever its neighbours.
+    assert not main(80, 0, 80, 0, 80, 0, 0, 0, 1) and not main(80, 0, 4, 0, 3, 0, 1, 1, 0)
+    # An unmarked paragraph is, and a short one before links, but not "Share:" there.
     assert main(8, 0, 70, 0, 1, 1, 1, 0, 0) and main(8, 0, 70, 0, 1, 1, 0, 0, 0)
     assert main(60, 0, 70, 0, 50, 0, 0, 0, 0) and not main(2, 0, 70, 0, 1, 1, 0, 0, 0)
 
 
+BOXES = [
+    f'<aside class="sidebar"><h3>{words(2, 900)}</h3><p>{words(70, 910)}</p><p>{words(30, 980)}</p></aside>',
+    f"<aside><p>{words(900, 1000)}</p></aside>",
+    f"<footer><p>{words(55, 900)}</p></footer>",
+    f'<div class="advert"><p>{words(48, 900)}</p></div>',
+    f'<div id="newsletter"><h4>{words(3, 900)}</h4><p>{words(40, 905)}</p></div>',
+    f'<section class="comments"><h3>{words(1, 900)}</h3><article class="comment"><p>{words(65, 905)}</p></article>'
+    f'<article class="comment"><p>{words(300, 1005)}</p></article></section>',
+]
+
+
+@pytest.mark.parametrize("box", BOXES)
+@pytest.mark.parametrize("page", [
+    "<article>{a}{box}</article>", "<article>{a}</article>{box}", "{box}<main>{a}</main>",
+    '<article class="post no-comments">{first}{box}{rest}</article>',
+    '<body class="has-sidebar"><div class="with-sidebar"><h1>' + words(6) + "</h1>{rest}{box}</div>",
+    '<form action="/">{a}{box}</form>',
+])
+def test_marked_boxes_stay_out_wherever_they_are(page, box):
+    first, _, rest = ARTICLE.partition("</h2>")
+    page = page.format(a=ARTICLE, box=box, first=first + "</h2>", rest=rest)
+    assert html_text.main_text(page, html_text.train(*html_text.labelled())) == WHOLE
+
+
+@pytest.mark.parametrize("page", [
+    f'<h2 title="a > b">{words(6)}</h2><p data-x=\'>\' class=a">{words(60, 100)}</p>{{rest}}',
+    f"<head><title>{words(4)}<body>{{a}}",
+    f"<head><title>x<h2>{words(6)}</h2>" + ARTICLE.partition("</h2>")[2],
+])
+def test_markup_does_not_leak(page):
+    rest = "".join(f"<p>{words(60, i)}</p>" for i in (200, 300))
+    assert html_text.main_text(page.format(a=ARTICLE, rest=rest), html_text.train(*html_text.labelled())) == WHOLE
+
+
+def test_long_pages_are_read_in_little_time():
+    tree = html_text.train(*html_text.labelled())
+    many = f"<article>{ARTICLE * 3000}</article>"
+    assert html_text.main_text(many, tree).count("\n\n") == 4 * 3000 - 1
+
+
 def test_comments_longer_than_their_article_stay_out():
     page = f"<article><p>{words(30)}</p></article><section class='comments'><p>{words(20, 50)}</p><p>{words(25, 90)}</p></section>"
     assert html_text.main_text(page, html_text.train(*html_text.labelled())) == words(30)
