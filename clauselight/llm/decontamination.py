@@ -135,22 +135,24 @@ class FMIndex:
 class Block:
     """The windows of some items: distinct, by length, each with its items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for name, _ in items if name is not None})
         number = {name: i for i, name in enumerate(self.names)}
         owners: dict[tuple, set[int]] = {}
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + _FIRST_WORD) for w in words(text)]
             width = min(window, len(ids))
             for i in range(len(ids) - width + 1 if ids else 0):
-                owners.setdefault(tuple(ids[i : i + width]), set()).add(number[name])
+                known = owners.setdefault(tuple(ids[i : i + width]), set())
+                if name is not None:  # else its words are hits of no item
+                    known.add(number[name])
         self.lengths = {}
         for width in sorted({len(w) for w in owners}):
             some = [w for w in owners if len(w) == width]
             lists = [sorted(owners[w]) for w in some]
             ends = np.cumsum([len(x) for x in lists])
-            self.lengths[width] = np.array(some, np.int64), ends, np.concatenate(lists)
+            self.lengths[width] = np.array(some, np.int64), ends, np.concatenate(lists).astype(np.int64)
         self.shortest = min(self.lengths, default=0)
 
     def find(self, documents: list[list[bytes]], sizes: np.ndarray):
@@ -201,7 +203,7 @@ def _blocks(benchmark: DataFrame, window: int):
     """The items as broadcast blocks of bounded size."""
     rows = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")
-    ).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    ).filter("text IS NOT NULL")
     broadcast, held, size, blocks = benchmark.sparkSession.sparkContext.broadcast, [], 0, []
     for row in rows.toLocalIterator():
         held.append((row["item_id"], bytes(row["text"])))
@@ -244,9 +246,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, window: int = WIND
     """Benchmark windows in every document, as word counts, items and merged word spans.
 
     A window is ``window`` words in a row of an item, or a shorter item whole.
-    Null and empty texts have no words; items without words, or without an id,
-    are not searched; repeated rows are searched each for itself. Items with
-    equal ids count once. No documents give no rows.
+    Null and empty texts have no words; items without words are not searched; what
+    only items without an id hold is hit, but no item is counted or listed for it.
+    Repeated rows are searched each for itself. Items with equal ids count once. No
+    documents give no rows.
     """
     blocks = _blocks(benchmark, window)
 

@@ -79,9 +79,9 @@ def test_fm_index_finds_every_occurrence():
 
 
 def test_leaks_agree_with_brute_force(spark):
-    items = [(i, prose(25)) for i in range(8)] + [(8, "short item"), (9, None), (10, ""), (3, prose(11))]
+    items = [(i, prose(25)) for i in range(8)] + [(8, "short item"), (9, None), (10, ""), (3, prose(11)), (None, prose(14))]
     rows = [prose(50) + " " + items[1][1].upper() + ", " + prose(3), items[2][1][:60], None, "", "--",
-            "a short-item b short item", items[0][1] + " " + items[0][1], "ü " + items[3][1]]
+            "a short-item b short item", items[0][1] + " " + items[0][1], "ü " + items[3][1], "x " + items[-1][1]]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("*", "'x' AS items")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
@@ -95,9 +95,10 @@ def test_leaks_agree_with_brute_force(spark):
                 for at in range(len(w) - n + 1):
                     if w[at : at + n] == v[s : s + n]:
                         hit |= set(range(at, at + n))
-                        names.add(str(name))
+                        names |= {str(name)} - {"None"}
         r = found[i]
         assert (r.n_words, r.n_hit, r.items) == (len(w), len(hit), sorted(names)), i
+    assert found[len(rows) - 1].n_hit == 14 and found[len(rows) - 1].contaminated
     clean = {r.doc_id: r.text for r in decontamination.remove_leaks(docs, benchmark).collect()}
     assert clean[2] is None and clean[4] == "--" and clean[5] == "a  b "
     assert not any(r.contaminated for r in decontamination.find_leaks(
