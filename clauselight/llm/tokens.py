@@ -54,11 +54,15 @@ def chunks(text: str) -> list[str]:
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of whole texts; special strings are ordinary text."""
+    """Little-endian unsigned 32-bit ids of whole texts, as the library gives them.
+
+    A text that holds a string of an added token (such as an end-of-text mark) goes to the
+    library whole, since that token's rules may reach beyond the string.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.symbols = _byte_symbols()
         self.memo = Memo(self._chunk, MEMO_CHUNKS)
@@ -76,7 +80,12 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.memo.__getitem__, chunks(text))) if text else b""
+        if not text:
+            return b""
+        if any(a in text for a in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.memo.__getitem__, chunks(text)))
 
 
 @lru_cache(maxsize=2)

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from clauselight.llm import token_files, tokens
+from tokenizers import Tokenizer
 
 ODD = [
     None, "", " a", "a ", "a  b", "\n\nx", "x\t\ty z", "é ñ", "don't  'll we'll", "x<|endoftext|>y",
@@ -12,14 +13,17 @@ ODD = [
 ]
 
 
+LIBRARY = Tokenizer.from_file(tokens.DEFAULT_TOKENIZER)
+
+
 def plain(text):
-    tokenizer = tokens.encoder(tokens.DEFAULT_TOKENIZER).tokenizer
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_chunks_encode_like_whole_texts():
     random.seed(1)
     alphabet = "ab é,.'\n\t _-1٣² ́\x1c日!sdmtl"
+    assert len(plain("hello <|endoftext|> world")) == 4
     texts = ["".join(random.choices(alphabet, k=random.randint(1, 14))) for _ in range(5000)]
     encode = tokens.encoder(tokens.DEFAULT_TOKENIZER).encode
     for text in [*texts, *ODD]:
