@@ -13,6 +13,7 @@ import string
 import struct
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -26,6 +27,8 @@ _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 # Ends of a word that the splitter parts from its letters (an apostrophe may stay with them).
 _TAIL = "".join(c for c in string.punctuation if c != "'")
 
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(9)]
+
 
 def _byte_symbols() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 stands for itself, the rest is moved above 255."""
@@ -65,26 +68,30 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.symbols = _byte_symbols()
+        self.space = self.symbols[0x20]
         self.memo = Memo(self._chunk, MEMO_CHUNKS)
 
     def _chunk(self, chunk: str) -> bytes:
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():  # one piece for the splitter: straight to the merges
-            mapped = chunk.encode().decode("latin-1").translate(self.symbols)
+            if word.isascii():  # only the space before it has another symbol
+                mapped = chunk if word is chunk else self.space + word
+            else:
+                mapped = chunk.encode().decode("latin-1").translate(self.symbols)
             ids = [t.id for t in self.model.tokenize(mapped)]
         else:
             letters = chunk.rstrip(_TAIL)
             if len(letters) < len(chunk) and letters and letters[-1].isalpha():
                 return self.memo[letters] + self.memo[chunk[len(letters) :]]
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(ids, "<u4").tobytes() if len(ids) > 8 else _PACKED[len(ids)](*ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(a in text for a in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return np.array(ids, "<u4").tobytes()
         return b"".join(map(self.memo.__getitem__, chunks(text)))
 
 
