@@ -19,7 +19,8 @@ OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 def _header(role: Column, speaker: Column) -> Column:
     name = F.when(role == speaker, F.lit("assistant")).when(role == SYSTEM, F.lit("system"))
-    return F.concat(F.lit(OPEN), F.coalesce(name, F.concat(F.lit("user "), role)), F.lit(CLOSE))
+    shown = F.replace(F.replace(role, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    return F.concat(F.lit(OPEN), F.coalesce(name, F.concat(F.lit("user "), shown)), F.lit(CLOSE))
 
 
 def perspectives(conversations: DataFrame, *, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
@@ -33,7 +34,7 @@ def perspectives(conversations: DataFrame, *, turns_per_part: int = TURNS_PER_PA
     null role is the speaker ``unknown``, a null text is empty. Turns are in
     order of turn, role and text, nulls first (part -1 holds null turns); rows
     that repeat in all four columns count once. ``<|`` in a text is written
-    ``< |``, so that no text can forge a header. A conversation of system turns
+    ``< |``, and so is ``|>`` as ``| >`` in a role's header, so that neither can forge a header. A conversation of system turns
     only has no participant and no row. Other columns are not read.
     """
     messages = conversations.select(

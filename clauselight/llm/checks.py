@@ -11,7 +11,7 @@ OP1 = f"""WITH m AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn,
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> '{chat.SYSTEM}'),
 r AS (SELECT m.conv_id, speaker, {_PART} AS part, turn, role, text,
     '<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
-      ELSE 'user ' || role END || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
+      ELSE 'user ' || replace(replace(role, '<|', '< |'), '|>', '| >') END || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part
     ORDER BY turn NULLS FIRST, role, text) AS e FROM r)

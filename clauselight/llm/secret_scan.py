@@ -8,6 +8,7 @@ are joined back to all of them.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,12 +120,14 @@ def scan(
     """(doc_id, blob, spans) of every row of ``documents`` (doc_id, text).
 
     ``ledger`` is a folder that calls share; a call adds the pairs of blob and
-    rule version that it scanned. Rows of one doc_id with different texts are
+    rule version that it scanned. The rules themselves are part of the version, so other
+    rules scan anew. Rows of one doc_id with different texts are
     historical versions, each with its own row. A null text is the empty blob.
     Spans are sorted by start, then by the order of the rules. No rows give no
     rows; other columns are not read.
     """
     spark = documents.sparkSession
+    rule_version = f"{rule_version}-{hashlib.sha256(repr(rules).encode()).hexdigest()[:16]}"
     text = F.coalesce("text", F.lit(""))
     paths = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob"))
     paths = _stored(paths, new_path(spark, "blob-paths"))
@@ -148,7 +151,8 @@ def scan(
         spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
         .filter(F.col("rule_version") == rule_version)
         .filter(F.size("spans") > 0)
-        .select("blob", "spans")
+        # Calls at the same time may both have scanned a blob.
+        .groupBy("blob").agg(F.any_value("spans").alias("spans"))
     )
     none = F.array().cast(T.ArrayType(SPAN))
     return paths.join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
