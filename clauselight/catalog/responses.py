@@ -6,7 +6,6 @@ from clauselight.catalog import query
 from clauselight.catalog.text import READING, measures_check
 from clauselight.functions import records, report, response
 from clauselight.functions.text import with_reading_level
-from clauselight.session import new_path
 from clauselight.sources.adapters import documents
 
 _NL = "chr(10)"
@@ -192,19 +191,12 @@ _FLAT_SQL = ", ".join(f"{_join(n)} AS {n}" for n in _LISTS)
     structured_check()
     + f"SELECT CAST(doc_id AS VARCHAR) AS document_id, parse_path, summary, terms, {_FLAT_SQL} FROM structured",
 )
-def rsp5(spark, sf_dir):
-    out = response.with_structure(responses(spark, sf_dir))
+def rsp5(spark, sf_dir, only=None):
+    out = response.with_structure(responses(spark, sf_dir), only=only)
     flat = [F.array_join(n, "|").alias(n) for n in _LISTS]
     return out.select("document_id", "parse_path", "summary", _flat_terms(), *flat)
 
 
-def _stored(df, name):
-    """Structured rows written once, so that filters read them, not responses."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _by_path(name: str, path: str) -> None:
     """One query per way of reading a response."""
 
@@ -215,8 +207,7 @@ def _by_path(name: str, path: str) -> None:
         + f" FROM structured WHERE parse_path = '{path}'",
     )
     def run(spark, sf_dir):
-        stored = _stored(rsp5(spark, sf_dir), "structured")
-        return stored.filter(F.col("parse_path") == path).drop("parse_path")
+        return rsp5(spark, sf_dir, only=[path]).drop("parse_path")
 
 
 _by_path("rsp2_json_responses", "json")
@@ -239,13 +230,12 @@ def rsp6(spark, sf_dir):
 
 def simplified(spark, sf_dir):
     """Simplified documents as they are stored, errors left out."""
-    out = response.with_structure(responses(spark, sf_dir)).drop("response")
-    out = with_reading_level(
-        out.withColumn("confidence_score", response.confidence()),
+    out = response.with_structure(responses(spark, sf_dir), only=["json", "text", "fallback"])
+    done = with_reading_level(
+        out.drop("response").withColumn("confidence_score", response.confidence()),
         "summary",
         words="word_count_simplified",
     )
-    done = _stored(out, "simplified").filter("parse_path <> 'error'")
     return done.withColumns(
         {
             "original_filename": F.concat(F.lit("doc_"), "document_id", F.lit(".txt")),
@@ -313,8 +303,7 @@ def _md(name: str) -> str:
 _MD_TERMS = "CASE WHEN terms = '' THEN '' ELSE regexp_replace(replace('**' || terms, '|', chr(10) || '**'), '=', '**: ', 'g') END"
 
 
-@query(
-    "fn22_markdown_report",
+REPORT_SQL = (
     _SIMPLIFIED_SQL
     + f"""SELECT CAST(doc_id AS VARCHAR) AS document_id,
   '# Simplified Legal Document: doc_' || CAST(doc_id AS VARCHAR) || '.txt' || chr(10) || chr(10)
@@ -327,7 +316,10 @@ _MD_TERMS = "CASE WHEN terms = '' THEN '' ELSE regexp_replace(replace('**' || te
   || '---' || chr(10) || '*Simplified on 1/2/2024*' || chr(10) || '*Confidence Score: '
   || CAST(CAST(floor(confidence_score * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%*' || chr(10)
   || '*Reading Level: ' || reading_level || '*' AS markdown
-FROM measured""",
+FROM measured"""
 )
+
+
+@query("fn22_markdown_report", REPORT_SQL)
 def fn22(spark, sf_dir):
     return simplified(spark, sf_dir).select("document_id", report.markdown().alias("markdown"))

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from clauselight import schemas
 from clauselight.catalog import query, rounded, storage_check
 from clauselight.functions import report
 from clauselight.operators import keyed, storage
+from clauselight.session import new_path
+from clauselight.sinks.keyed_table import KeyedTable
 from clauselight.sources.adapters import (
     METADATA_SQL,
     RESULTS_SQL,
@@ -217,8 +220,7 @@ def _changes(metadata):
     return waiting.unionByName(stray)
 
 
-@query(
-    "snk5_update_metadata",
+_UPDATED_SQL = (
     f"""WITH document_metadata AS ({METADATA_SQL}), changes AS ({_CHANGES})
 SELECT m.document_id, m.filename, m.file_size,
   CASE WHEN c.document_id IS NULL THEN m.processing_timestamp ELSE c.processing_timestamp END AS processing_timestamp,
@@ -226,8 +228,11 @@ SELECT m.document_id, m.filename, m.file_size,
   CASE WHEN c.document_id IS NULL THEN m.extraction_method ELSE c.extraction_method END AS extraction_method,
   CASE WHEN c.document_id IS NULL THEN m.language_detected ELSE c.language_detected END AS language_detected,
   m.ocr_confidence
-FROM document_metadata m LEFT JOIN changes c ON c.document_id = m.document_id""",
+FROM document_metadata m LEFT JOIN changes c ON c.document_id = m.document_id"""
 )
+
+
+@query("snk5_update_metadata", _UPDATED_SQL)
 def snk5(spark, sf_dir):
     metadata = document_metadata(spark, sf_dir)
     out = keyed.update_metadata(metadata, _changes(metadata))
@@ -254,3 +259,20 @@ WHERE document_id NOT IN (SELECT CAST(doc_id AS STRING) FROM labels WHERE toxic
 def snk6(spark, sf_dir):
     out = keyed.delete_documents(document_metadata(spark, sf_dir), delete_set(spark, sf_dir))
     return out.select("document_id", "filename", "file_size", "status")
+
+
+@query(
+    "snk5_snk6_table_in_parts",
+    f"""SELECT * FROM ({_UPDATED_SQL}) u
+WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
+)
+def snk5_parts(spark, sf_dir):
+    metadata = document_metadata(spark, sf_dir)
+    kept = KeyedTable(new_path(spark, "metadata-parts"), schemas.DOCUMENT_METADATA, parts=32)
+    kept.create(metadata)
+    kept.update(_changes(metadata))
+    kept.delete(delete_set(spark, sf_dir))
+    return kept.read(spark).select(
+        "document_id", "filename", "file_size", "processing_timestamp", "status",
+        "extraction_method", "language_detected", "ocr_confidence",
+    )

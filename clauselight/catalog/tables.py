@@ -1,9 +1,11 @@
 """Table scans, and writers followed by a read of what they wrote."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from clauselight.catalog import query, storage_check, usage_check
-from clauselight.catalog.responses import _SIMPLIFIED_SQL, simplified
+from clauselight.catalog.responses import _SIMPLIFIED_SQL, REPORT_SQL, simplified
 from clauselight.session import new_path
 from clauselight.sinks import tables as sinks
 from clauselight.sources import tables as sources
@@ -123,6 +125,70 @@ def _landed(spark, sf_dir, keep):
     return sources.raw_uploads(spark, path)
 
 
+def _landed_files(spark, sf_dir):
+    uploads = documents(spark, sf_dir).select(
+        F.expr(_STORED).alias("storage_path"), F.encode("text", "UTF-8").alias("content")
+    )
+    path = new_path(spark, "upload-files")
+    sinks.write_uploads(uploads, path, per_document=True)
+    return path
+
+
+@query(
+    "src4_landed_files",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS document_id, {_STORED} AS storage_path, CAST(strlen(text) AS BIGINT) AS length,
+  sha256(text) AS sha256 FROM documents WHERE text <> ''""",
+)
+def src4_files(spark, sf_dir):
+    # Spark lists no empty files.
+    files = sources.raw_files(spark, _landed_files(spark, sf_dir))
+    return files.select("document_id", "storage_path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query(
+    "src4_listed_files",
+    """SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(strlen(text) AS BIGINT) AS length
+FROM documents WHERE doc_id % 10 = 7 AND text <> ''""",
+)
+def src4_listing(spark, sf_dir):
+    files = sources.raw_files(spark, _landed_files(spark, sf_dir), names="doc_*7", content=False)
+    return files.select("document_id", "length")
+
+
+@query(
+    "snk9_report_files",
+    REPORT_SQL,
+)
+def snk9(spark, sf_dir):
+    path = new_path(spark, "reports")
+    sinks.write_reports(simplified(spark, sf_dir), path, per_document=True)
+    name = F.regexp_extract("path", r"reports/([^/]+)\.md$", 1)
+    files = sources.raw_files(spark, path, names="*.md")
+    return files.select(
+        F.url_decode(name).alias("document_id"), F.decode("content", "UTF-8").alias("markdown")
+    )
+
+
+def _catalog_tables(spark, sf_dir):
+    root, prefix = new_path(spark, "catalog"), f"c{uuid4().hex}_"
+    for rows in range(2):  # the second time nothing is created anew
+        names = sinks.create_catalog_tables(spark, root, prefix)
+        if rows == 0:
+            sinks.insert_rows(usage_analytics(spark, sf_dir), "usage_analytics", names["usage_analytics"])
+            sinks.insert_rows(processing_results(spark, sf_dir), "processing_results", names["processing_results"])
+    return names
+
+
+@query("snk7_catalog_events", USAGE_SQL)
+def snk7(spark, sf_dir):
+    return spark.table(_catalog_tables(spark, sf_dir)["usage_analytics"]).drop("event_date")
+
+
+@query("snk7_catalog_results", storage_check("SELECT * FROM processing_results"))
+def snk7_results(spark, sf_dir):
+    return spark.table(_catalog_tables(spark, sf_dir)["processing_results"])
+
+
 @query(
     "src4_documents_with_content",
     storage_check("""SELECT m.document_id, CAST(CASE WHEN d.lang = 'de' THEN NULL ELSE strlen(d.text) END AS BIGINT) AS size_bytes

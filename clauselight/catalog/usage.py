@@ -5,7 +5,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from clauselight.catalog import query, rounded, usage_check
-from clauselight.operators import usage
+from clauselight.operators import partials, usage
+from clauselight.session import new_path
 from clauselight.sources.adapters import usage_analytics
 
 START, END = datetime(2024, 1, 2), datetime(2024, 1, 20)
@@ -28,7 +29,8 @@ def _typed(sql: str) -> str:
 @query(
     "agg1_usage_statistics",
     usage_check(_typed(f"""
-SELECT count(*) AS total_actions, count(DISTINCT document_id) AS unique_documents,
+SELECT TIMESTAMP '{START}' AS period_start, TIMESTAMP '{END}' AS period_end,
+  count(*) AS total_actions, count(DISTINCT document_id) AS unique_documents,
   count(DISTINCT user_id) AS unique_users, {_COUNTS},
   count_if(action = 'document_deletion') AS deletions,
   round(avg(processing_time), 6) AS average_processing_time,
@@ -38,8 +40,39 @@ FROM usage_analytics
 WHERE timestamp BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'""")),
 )
 def agg1(spark, sf_dir):
-    out = usage.usage_statistics(usage_analytics(spark, sf_dir), START, END)
-    return rounded(out, "average_processing_time", "average_confidence_score")
+    return _with_period(usage.usage_statistics(usage_analytics(spark, sf_dir), START, END))
+
+
+def _with_period(out):
+    ends = [F.col(f"period.{e}").alias(f"period_{e}") for e in ("start", "end")]
+    return rounded(out.select(*ends, "*").drop("period"), "average_processing_time", "average_confidence_score")
+
+
+EDGE_START, EDGE_END = datetime(2024, 1, 2, 7, 30), datetime(2024, 1, 19, 16, 45)
+
+
+@query(
+    "agg1_period_from_partials",
+    usage_check(_typed(f"""
+SELECT TIMESTAMP '{EDGE_START}' AS period_start, TIMESTAMP '{EDGE_END}' AS period_end, count(*) AS total_actions,
+  count(DISTINCT document_id) AS unique_documents, count(DISTINCT user_id) AS unique_users, {_COUNTS},
+  count_if(action = 'document_deletion') AS deletions,
+  round(avg(processing_time), 6) AS average_processing_time,
+  round(avg(confidence_score), 6) AS average_confidence_score,
+  count(user_feedback) AS feedback_count
+FROM usage_analytics
+WHERE timestamp BETWEEN TIMESTAMP '{EDGE_START}' AND TIMESTAMP '{EDGE_END}'""")),
+)
+def agg1_partials(spark, sf_dir):
+    events = usage_analytics(spark, sf_dir)
+    sums, values = (new_path(spark, n) for n in ("day-sums", "day-values"))
+    partials.day_sums(events).write.parquet(sums)
+    partials.day_values(events).write.parquet(values)
+    return _with_period(partials.period_statistics(
+        spark.read.schema(partials.SUMS_SCHEMA).parquet(sums),
+        spark.read.schema(partials.VALUES_SCHEMA).parquet(values),
+        events, EDGE_START, EDGE_END,
+    ))
 
 
 _DOCUMENT = _typed(f"""

@@ -8,6 +8,8 @@ row-local: no shuffle, no Python worker. The session settings of
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,16 +221,18 @@ def _fallback_record(response: str) -> str:
 # --- cascade -------------------------------------------------------------
 
 
-def with_structure(df: DataFrame, response: str = "response") -> DataFrame:
+def with_structure(
+    df: DataFrame, response: str = "response", only: Sequence[str] | None = None
+) -> DataFrame:
     """Add ``parse_path`` and the six content fields of a response column.
 
     ``parse_path`` is json, text, fallback or error; a NULL response gives
     NULLs. A bullet below a summary heading breaks the line reading: a response
     without braces then takes the canned record, one with broken JSON fails.
 
-    Write the result before filtering it by ``parse_path`` or content: a filter
-    on computed columns is evaluated at the scan and would read every response
-    twice.
+    ``only`` keeps the rows read in one of these ways. They come out of a generator, so
+    each response is read once; a filter on ``parse_path`` or content put on top of the plain form
+    is evaluated at the scan and reads every response twice.
     """
     text = f"`{response}`"
     broken = (
@@ -248,14 +252,19 @@ def with_structure(df: DataFrame, response: str = "response") -> DataFrame:
     variant = F.when(F.col("_json") != "", strict_json(F.col("_json")))
     blocks = F.expr(f"CASE WHEN _variant IS NULL THEN {_section_blocks(text)} END")
     # Each stage names what the next one uses more than once.
-    return (
+    staged = (
         df.select(*kept, json_block(F.col(response)).alias("_json"))
         .select("*", variant.alias("_variant"))
         .select("*", blocks.alias("_blocks"))
         .select("*", F.expr(path).alias("parse_path"))
-        .select("*", F.expr(record).alias("_record"))
-        .select(*kept, "parse_path", *[F.col(f"_record.{n}").alias(n) for n in FIELDS])
     )
+    if only is None:
+        read = staged.select("*", F.expr(record).alias("_record"))
+    else:
+        row = F.struct("parse_path", F.expr(record).alias("_record"))
+        row = F.when(F.col("parse_path").isin(*only), F.array(row))
+        read = staged.select(*kept, F.inline(row))
+    return read.select(*kept, "parse_path", *[F.col(f"_record.{n}").alias(n) for n in FIELDS])
 
 
 def confidence() -> Column:

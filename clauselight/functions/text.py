@@ -85,11 +85,15 @@ def legal_term_count(text: Column) -> Column:
 def lowered_term_count(lowered: Column) -> Column:
     """Occurrences in a text already in lower case.
 
-    Each term is a search of its own: terms are counted independently, and a
-    plain literal lets the search skip ahead instead of reading every character.
+    Each term is a search of its own, as terms are counted independently. Most
+    texts lack most terms: only those found in the bytes are counted in the characters.
     """
-    counts = [F.regexp_count(lowered, F.lit(term)) for term in LEGAL_TERMS]
-    return reduce(Column.__add__, counts).cast("bigint")
+    counts = [
+        F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(term))).otherwise(F.lit(0))
+        for term in LEGAL_TERMS
+    ]
+    # A missing text has no count.
+    return F.when(lowered.isNotNull(), reduce(Column.__add__, counts)).cast("bigint")
 
 
 def _single_spaced_words(trimmed: Column) -> Column:

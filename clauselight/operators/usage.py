@@ -23,6 +23,17 @@ def instant(df: DataFrame, column: str, value: datetime | str) -> Column:
     return F.lit(value).cast(df.schema[column].dataType)
 
 
+def period(
+    start: datetime | str | None,
+    end: datetime | str | None,
+    as_of: datetime | None = None,
+    default_days: int = USAGE_DAYS,
+) -> tuple[datetime | str, datetime | str]:
+    """Both ends of a period, missing ones filled in."""
+    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    return as_of - timedelta(days=default_days) if start is None else start, as_of if end is None else end
+
+
 def in_period(
     events: DataFrame,
     start: datetime | str | None,
@@ -37,9 +48,7 @@ def in_period(
     ``default_days`` before ``as_of``. A table partitioned by ``event_date`` is
     pruned to the days of the period as well.
     """
-    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-    end = as_of if end is None else end
-    start = as_of - timedelta(days=default_days) if start is None else start
+    start, end = period(start, end, as_of, default_days)
     low, high = instant(events, "timestamp", start), instant(events, "timestamp", end)
     kept = events.filter(F.col("timestamp").between(low, high))
     if "event_date" in events.columns:
@@ -67,8 +76,10 @@ def usage_statistics(
     as_of: datetime | None = None,
     exact: bool = True,
 ) -> DataFrame:
-    """Totals for a period; one row, also when the period is empty."""
-    return in_period(events, start, end, as_of=as_of).agg(
+    """Totals for a period, and the period; one row, also when the period is empty."""
+    start, end = period(start, end, as_of)
+    ends = [instant(events, "timestamp", t).alias(n) for t, n in ((start, "start"), (end, "end"))]
+    return in_period(events, start, end).agg(
         F.count("*").alias("total_actions"),
         _distinct("document_id", exact).alias("unique_documents"),
         _distinct("user_id", exact).alias("unique_users"),
@@ -79,7 +90,7 @@ def usage_statistics(
         F.avg("processing_time").alias("average_processing_time"),
         F.avg("confidence_score").alias("average_confidence_score"),
         _feedback_count().alias("feedback_count"),
-    )
+    ).withColumn("period", F.struct(*ends))
 
 
 def document_analytics(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,13 +37,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset the
-    session is a local one (tests, bench) and a temporary folder serves.
+    A cluster names it in ``spark.checkpoint.dir``. Only in a session of one process (tests,
+    bench), where that may be unset, a temporary folder serves.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     return _local_dir()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselight import schemas
 from clauselight.functions import report
+from clauselight.sinks.files import write_files
 
 # JSON keeps every field, and times to the microsecond.
 JSON_OPTIONS = {
@@ -46,9 +47,12 @@ def append_results(results: DataFrame, path: str) -> None:
     conform(results, "processing_results").write.mode("append").parquet(path)
 
 
-def write_uploads(uploads: DataFrame, path: str) -> None:
-    """Land raw uploads as a table; Spark has no writer for single files."""
-    uploads.select(*schemas.columns(schemas.RAW_UPLOADS)).write.mode("append").parquet(path)
+def write_uploads(uploads: DataFrame, path: str, *, per_document: bool = False) -> None:
+    """Land raw uploads as a table, or as one file each under their storage path."""
+    if per_document:
+        write_files(uploads.select(F.col("storage_path").alias("file"), "content"), path)
+    else:
+        uploads.select(*schemas.columns(schemas.RAW_UPLOADS)).write.mode("append").parquet(path)
 
 
 def write_simplified(simplified: DataFrame, path: str, *, per_document: bool = False) -> None:
@@ -70,14 +74,17 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.options(**JSON_OPTIONS).mode("errorifexists").json(path)
 
 
-def write_reports(simplified: DataFrame, path: str) -> None:
-    """The Markdown report of each document, one folder per document."""
-    (
-        simplified.select(report.markdown().alias("value"), "document_id")
-        .write.mode("append")
-        .partitionBy("document_id")
-        .text(path)
-    )
+def write_reports(simplified: DataFrame, path: str, *, per_document: bool = False) -> None:
+    """The Markdown report of each document: a table of document_id and markdown, or a file each.
+
+    A file is named ``reports/<document id>.md``, the id as in a URL.
+    """
+    rows = simplified.select("document_id", report.markdown().alias("markdown"))
+    if per_document:
+        name = F.concat(F.lit("reports/"), F.url_encode("document_id"), F.lit(".md"))
+        write_files(rows.select(name.alias("file"), F.encode("markdown", "UTF-8").alias("content")), path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
@@ -88,3 +95,41 @@ def create_tables(spark: SparkSession, root: str) -> None:
         else:
             writer = spark.createDataFrame([], schema).write
         writer.mode("ignore").parquet(f"{root}/{name}")
+
+
+def create_catalog_tables(spark: SparkSession, root: str, prefix: str = "") -> dict[str, str]:
+    """The three tables in the session's catalog, over folders below ``root``.
+
+    Tables that are there stay as they are, with their data. Returns the catalog's
+    names by table. Columns that must have a value are declared so; Spark does not hold its file
+    tables to that, ``insert_rows`` does.
+    """
+    names = {}
+    for table, schema in schemas.TABLES.items():
+        by_day = table == "usage_analytics"
+        fields = schemas.PARTITIONED_USAGE.fields if by_day else schema.fields
+        columns = ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in fields
+        )
+        names[table] = f"{prefix}{table}"
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {names[table]} ({columns}) USING parquet"
+            f"{' PARTITIONED BY (event_date)' if by_day else ''} LOCATION '{root}/{table}'"
+        )
+    return names
+
+
+def insert_rows(rows: DataFrame, table: str, target: str) -> None:
+    """Append rows to a catalog table; a missing value in a required column fails the insert."""
+    schema = schemas.TABLES[table]
+    checked = conform(rows, table).select(
+        *[
+            F.col(f.name)
+            if f.nullable
+            else F.coalesce(F.col(f.name), F.raise_error(F.lit(f"{table}.{f.name} must not be null"))).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+    if table == "usage_analytics":
+        checked = checked.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
+    checked.write.insertInto(target)

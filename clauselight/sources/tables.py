@@ -41,19 +41,26 @@ def simplified_documents(spark: SparkSession, path: str, *, pretty: bool = False
     return reader.json(path)
 
 
-def raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files below a folder, with the document id from their path.
+def raw_files(
+    spark: SparkSession, path: str, *, names: str | None = None, content: bool = True
+) -> DataFrame:
+    """Uploaded files in a folder and those below it, with the document id from their path.
 
-    Without ``content`` in the query only the listing is read.
+    ``names`` is a pattern that file names must match. Without ``content``, or if a
+    query doesn't use it, only the listing is read and no file is opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
+    files = reader.load(path).select(
         F.regexp_extract("path", UPLOAD_ID, 1).alias("document_id"),
         F.regexp_extract("path", r"(uploads/[^/]+/.+)$", 1).alias("storage_path"),
+        "path",
         "modificationTime",
         "length",
         "content",
     )
+    return files if content else files.drop("content")
 
 
 def raw_uploads(spark: SparkSession, path: str) -> DataFrame:

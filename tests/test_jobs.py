@@ -185,7 +185,7 @@ def test_simplified_documents_and_reports(spark, tmp_path, workdir):
     assert first == [tuple(r) for r in out.simplified.orderBy("document_id").select(*wanted).collect()]
     folders = {p.name for p in Path(tree).iterdir() if p.is_dir()}
     assert folders == {"document=0", "document=2"}
-    report = "".join(p.read_text() for p in Path(reports, "document_id=0").glob("*.txt"))
+    report = spark.read.parquet(reports).filter("document_id = '0'").first()["markdown"]
     assert report.startswith("# Simplified Legal Document: f0.txt")
 
     pretty = tmp_path / "processed" / "7"

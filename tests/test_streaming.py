@@ -103,8 +103,7 @@ def test_periods_from_daily_partials(spark, start, end):
     sums = partials.day_sums(rows.filter("document_id < 'd3'")).unionByName(partials.day_sums(rows.filter("document_id >= 'd3'")))
     values = partials.day_values(rows)
     got = partials.period_statistics(sums, values, rows, start, end).first().asDict()
-    period = got.pop("period")
-    assert (period["start"], period["end"]) == (start, end)
+    assert (got["period"]["start"], got["period"]["end"]) == (start, end)
     assert got == usage.usage_statistics(rows, start, end).first().asDict()
 
 
