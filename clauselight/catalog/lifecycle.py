@@ -9,8 +9,9 @@ from clauselight.catalog.extraction import _NAME
 from clauselight.catalog.responses import _flat_terms
 from clauselight.catalog.storage import delete_set
 from clauselight.catalog.text import READING, WS, measures_check, normalised_check
-from clauselight.functions import prompts
+from clauselight.functions import extraction, prompts
 from clauselight.operators import batch, intake
+from clauselight.operators.keyed import update_metadata
 from clauselight.operators.skew import salted_join
 from clauselight.plans import lifecycle
 from clauselight.plans.calls import Ledger
@@ -219,8 +220,6 @@ SELECT m.document_id, m.filename, CASE WHEN error IS NULL THEN 'completed' ELSE
 FROM ({METADATA_SQL}) m JOIN outcomes o USING (document_id)""",
 )
 def job2_metadata(spark, sf_dir):
-    from clauselight.operators.keyed import update_metadata
-
     changes = _processed(spark, sf_dir, _all_documents(spark, sf_dir)).changes
     return update_metadata(document_metadata(spark, sf_dir), changes).select(
         "document_id", "filename", "status", "processing_timestamp", "processed_path",
@@ -287,6 +286,44 @@ def job2_open(spark, sf_dir):
     return lifecycle.not_yet_processed(everything, texts(spark, sf_dir), ledger).select("document_id")
 
 
+# From raw bytes to results: uploads are checked and landed, texts extracted by type (PDFs by a
+# stand-in that decodes them; images and Word files have no extractor here), documents marked,
+# processed, and their metadata brought up to date.
+@query(
+    "job2_from_raw_bytes",
+    f"""WITH {_OUTCOMES},
+landed AS (SELECT document_id, {_KIND} AS file_type FROM ({_UPLOADS}) u WHERE {_reason('file_size')} IS NULL),
+done AS (SELECT l.document_id, file_type, word_count_simplified, o.confidence_score,
+  CASE WHEN file_type NOT IN ('pdf', 'text') THEN '{lifecycle.NO_TEXT}' ELSE o.error END AS error
+  FROM landed l JOIN outcomes o USING (document_id))
+SELECT document_id, file_type, 'processing' AS status_before, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN error IS NULL THEN {_AS_OF} END AS processing_timestamp, error,
+  CASE WHEN error IS NULL THEN word_count_simplified END AS word_count_simplified,
+  CASE WHEN error IS NULL THEN confidence_score END AS confidence_score
+FROM done""",
+)
+def job2_from_raw_bytes(spark, sf_dir):
+    landed = _ingested(spark, sf_dir)
+    taken = lifecycle.mark_processing(landed.metadata, landed.metadata)
+    extracted = lifecycle.extract_texts(taken, landed.raw, {"pdf": extraction.decode_text})
+    out = lifecycle.process(
+        taken.select("document_id"),
+        taken,
+        extracted,
+        stand_in(prompts.DOCUMENT_MARK),
+        lifecycle.new_workdir(spark, "process"),
+        as_of=AS_OF,
+    )
+    found = F.col("error").isNull()
+    items = out.items.select(
+        "document_id", "error",
+        *[F.when(found, F.col(c)).alias(c) for c in ("word_count_simplified", "confidence_score")],
+    )
+    before = taken.select("document_id", F.col("status").alias("status_before"))
+    done = update_metadata(taken, out.changes).select("document_id", "file_type", "status", "processing_timestamp")
+    return done.join(before, "document_id").join(items, "document_id")
+
+
 # --- batches ---------------------------------------------------------------
 
 # Each user's clicks are a batch; some name a document that does not exist.
