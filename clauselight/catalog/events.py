@@ -228,6 +228,9 @@ _RAW = [
     " ELSE props || ' trailing' END AS metadata",
     "CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR(40)) END AS processing_time",
     "CASE WHEN event_id % 19 = 0 THEN 'big' ELSE CAST(event_id AS VARCHAR(20)) END AS file_size",
+    "CASE event_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN event_type END AS simplification_level",
+    "CAST(event_id % 100 AS VARCHAR(20)) AS confidence_score",
+    "CASE WHEN event_id % 5 = 0 THEN props END AS user_feedback",
 ]
 _RAW_SQL = f"SELECT {', '.join(_RAW)} FROM events"
 _WRAPPED = (
@@ -240,7 +243,8 @@ _WRAPPED = (
     "prj1_coerced_events",
     f"""SELECT document_id, user_id, action, TRY_CAST(timestamp AS TIMESTAMP) AS timestamp,
   {_WRAPPED} AS metadata, TRY_CAST(processing_time AS DOUBLE) AS processing_time,
-  TRY_CAST(file_size AS BIGINT) AS file_size,
+  TRY_CAST(file_size AS BIGINT) AS file_size, simplification_level,
+  TRY_CAST(confidence_score AS DOUBLE) AS confidence_score, user_feedback,
   CASE WHEN document_id IS NULL THEN 'missing_document_id'
     WHEN TRY_CAST(timestamp AS TIMESTAMP) IS NULL THEN 'invalid_timestamp'
     WHEN TRY_CAST(processing_time AS DOUBLE) IS NULL THEN 'invalid_processing_time'
@@ -249,9 +253,7 @@ FROM ({_RAW_SQL}) r""",
 )
 def prj1(spark, sf_dir):
     raw = table(spark, sf_dir, "events").selectExpr(*_RAW)
-    return records.coerce_events(raw).drop(
-        "simplification_level", "confidence_score", "user_feedback"
-    )
+    return records.coerce_events(raw)
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits of an upload.
+# The limits of an upload unless the caller sets others.
 MAX_FILE_BYTES = 10 * 1024 * 1024
 CONTENT_TYPES = (
     "application/pdf",
@@ -18,19 +20,29 @@ CONTENT_TYPES = (
 )
 
 
-def reject_reason(filename: Column, size: Column, content_type: Column) -> Column:
+def reject_reason(
+    filename: Column,
+    size: Column,
+    content_type: Column,
+    *,
+    max_bytes: int = MAX_FILE_BYTES,
+    content_types: Sequence[str] = CONTENT_TYPES,
+) -> Column:
     """The first check an upload fails; NULL when it passes all of them."""
     return (
         F.when(F.coalesce(filename, F.lit("")) == "", "no_filename")
-        .when(size > MAX_FILE_BYTES, "too_large")
-        .when(~F.coalesce(content_type.isin(*CONTENT_TYPES), F.lit(False)), "unsupported_type")
+        .when(size > max_bytes, "too_large")
+        .when(~F.coalesce(content_type.isin(*content_types), F.lit(False)), "unsupported_type")
     )
 
 
-def checked(uploads: DataFrame) -> DataFrame:
-    """Uploads with their size and the reason for a rejection, if any."""
+def checked(uploads: DataFrame, **limits) -> DataFrame:
+    """Uploads with their size and the reason for a rejection, if any.
+
+    ``limits`` are those of ``reject_reason``.
+    """
     sized = uploads.withColumn("file_size", F.octet_length("content").cast("bigint"))
     return sized.withColumn(
         "reject_reason",
-        reject_reason(F.col("filename"), F.col("file_size"), F.col("content_type")),
+        reject_reason(F.col("filename"), F.col("file_size"), F.col("content_type"), **limits),
     )

@@ -19,8 +19,6 @@ UPDATED_COLUMNS = (
     "language_detected",
     "processed_path",
 )
-# A single window keeps at most this many rows per key before the shuffle.
-WINDOW_LIMIT = 1000
 SALTS = 64
 
 
@@ -67,17 +65,15 @@ def latest_documents(
     if user_id is not None:
         return metadata.filter(F.col("user_id") == user_id).orderBy(*order).limit(limit)
     rows = metadata.filter(F.col("user_id").isNotNull())
-    if limit > WINDOW_LIMIT:
-        # Too many rows per key to be cut down inside the window operator:
-        # rank within slices of a user first, then among the survivors.
-        part = F.pmod(F.xxhash64("document_id"), F.lit(SALTS))
-        sliced = Window.partitionBy("user_id", "_part").orderBy(*order)
-        rows = (
-            rows.withColumn("_part", part)
-            .withColumn("_rank", F.row_number().over(sliced))
-            .filter(F.col("_rank") <= limit)
-            .drop("_part", "_rank")
-        )
+    # Within slices of a user first, then among what is left of them: however long the
+    # list, no task holds all rows of a user.
+    sliced = Window.partitionBy("user_id", "_part").orderBy(*order)
+    rows = (
+        rows.withColumn("_part", F.pmod(F.xxhash64("document_id"), F.lit(SALTS)))
+        .withColumn("_rank", F.row_number().over(sliced))
+        .filter(F.col("_rank") <= limit)
+        .drop("_part", "_rank")
+    )
     ranked = rows.withColumn(
         "rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
     )

@@ -75,7 +75,8 @@ def salted_join(
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     salt = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int")
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread_left = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    # Rows without a key match nothing; they are spread as well.
+    spread_left = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0)))
     spread_right = right.withColumn(
         "_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
     )

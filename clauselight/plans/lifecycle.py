@@ -51,11 +51,14 @@ class Ingested(NamedTuple):
     rejected: DataFrame
 
 
-def ingest(uploads: DataFrame, workdir: str, as_of: datetime | None = None) -> Ingested:
+def ingest(
+    uploads: DataFrame, workdir: str, as_of: datetime | None = None, **limits
+) -> Ingested:
     """Check uploads, give them ids, and derive their metadata and events.
 
     ``uploads`` holds filename, content_type and content, and optionally
-    document_id, user_id, image_confidence and pages. The content is read and
+    document_id, user_id, image_confidence and pages; ``limits`` are those of
+    ``intake.reject_reason``. The content is read and
     written once; accepted and rejected rows land in separate folders of the
     same table.
     """
@@ -66,7 +69,7 @@ def ingest(uploads: DataFrame, workdir: str, as_of: datetime | None = None) -> I
 
     document_id = F.col("document_id") if "document_id" in given else F.uuid()
     kind = extraction.file_type(F.col("filename"))
-    landed = intake.checked(uploads).select(
+    landed = intake.checked(uploads, **limits).select(
         document_id.cast("string").alias("document_id"),
         "filename",
         "content_type",

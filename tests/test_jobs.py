@@ -127,6 +127,8 @@ def test_ingest_extract_and_purge(spark, workdir):
         "filename string, content_type string, content binary",
     )
     out = lifecycle.ingest(uploads, workdir, AT)
+    strict = lifecycle.ingest(uploads, workdir + "-strict", AT, max_bytes=5, content_types=["text/html"])
+    assert {r["reject_reason"] for r in strict.rejected.collect()} == {"no_filename", "too_large", "unsupported_type"}
     rejected = {r["filename"]: r["reject_reason"] for r in out.rejected.collect()}
     assert rejected == {"": "no_filename", "c.html": "unsupported_type"}
     rows = {r["filename"]: r for r in out.metadata.collect()}
