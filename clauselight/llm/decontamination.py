@@ -12,14 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clauselight.llm.words import batch_rows
+from clauselight.session import new_path
 
 WINDOW = 10
 # Items reach the tasks in blocks of this much text.
@@ -199,35 +201,94 @@ class Block:
         return np.cumsum(hit[:total]) > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
-def _blocks(benchmark: DataFrame, window: int):
-    """The items as broadcast blocks of bounded size."""
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[Block]:
+    """The items in blocks of bounded size, at least one; the driver holds one at a time."""
     rows = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")
     ).filter("text IS NOT NULL")
-    broadcast, held, size, blocks = benchmark.sparkSession.sparkContext.broadcast, [], 0, []
+    held, size, given = [], 0, False
     for row in rows.toLocalIterator():
         held.append((row["item_id"], bytes(row["text"])))
         size += len(held[-1][1])
         if size >= BLOCK_BYTES:
-            blocks.append(broadcast(Block(held, window)))
-            held, size = [], 0
-    return [*blocks, broadcast(Block(held, window))]
+            yield Block(held, window)
+            held, size, given = [], 0, True
+    if held or not given:
+        yield Block(held, window)
 
 
-def _scan(batches, blocks) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray, list]]:
-    """Slices with the texts, word counts, hit flags and item names of their documents."""
+class _Columns:
+    """Names for what passes hand on, other than the caller's columns."""
+
+    def __init__(self, given: list[str]):
+        free = (f"_leak{i}" for i in count() if f"_leak{i}" not in given)
+        self.bytes, self.hits, self.items = next(free), next(free), next(free)
+
+
+def _scan(batches, block: Block, names: _Columns):
+    """Slices with the texts, word counts, hit flags and item names of their documents so far."""
     for batch in batch_rows(batches):
-        texts = batch.column("_bytes").to_pylist()
+        texts = batch.column(names.bytes).to_pylist()
         split = [words(t) for t in texts]
         sizes = np.array([len(d) for d in split], np.int64)
-        hit, names = np.zeros(int(sizes.sum()), bool), [set() for _ in texts]
-        for block in blocks:
-            block = block.value
-            also, pairs = block.find(split, sizes)
-            hit |= also
-            for doc, item in pairs.tolist():
-                names[doc].add(block.names[item])
-        yield batch, texts, sizes, hit, names
+        hit, pairs = block.find(split, sizes)
+        found = [set() for _ in texts]
+        for doc, item in pairs.tolist():
+            found[doc].add(block.names[item])
+        if names.hits in batch.schema.names:
+            for at, spans in zip(np.cumsum(sizes) - sizes, batch.column(names.hits).to_pylist()):
+                for span in spans:
+                    hit[at + span["start"] : at + span["end"]] = True
+            for known, more in zip(found, batch.column(names.items).to_pylist()):
+                known.update(more)
+        yield batch, texts, sizes, hit, found
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _span_lists(sizes: np.ndarray, hit: np.ndarray) -> list[list[dict]]:
+    ends = np.cumsum(sizes)
+    return [[{"start": s, "end": e} for s, e in _spans(hit[a:b])] for a, b in zip(ends - sizes, ends)]
+
+
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, names: _Columns, finish, schema) -> DataFrame:
+    """``finish`` over the slices of ``_scan``, when all blocks have been searched.
+
+    One block is sent to the tasks at a time. If there are several, what was found in
+    earlier ones travels with the documents, which are written between the passes.
+    """
+    context = rows.sparkSession.sparkContext
+    between = f"{names.hits} array<struct<start:long,end:long>>, {names.items} array<string>"
+
+    def hand_on(sent):
+        def run(batches):
+            for batch, _, sizes, hit, found in _scan(batches, sent.value, names):
+                kept = [c for c in batch.schema.names if c not in (names.hits, names.items)]
+                columns = [pa.array(_span_lists(sizes, hit), _SPANS), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                yield pa.record_batch(
+                    [*(batch.column(c) for c in kept), *columns], names=[*kept, names.hits, names.items]
+                )
+
+        return run
+
+    blocks = _blocks(benchmark, window)
+    block = next(blocks)
+    plain = rows.schema
+    for following in blocks:
+        sent = context.broadcast(block)
+        state = StructType([*plain.fields, *StructType.fromDDL(between).fields])
+        rows = _stored(rows.mapInArrow(hand_on(sent), state), "leaks-so-far")
+        sent.unpersist()
+        block = following
+    sent = context.broadcast(block)
+    return rows.mapInArrow(lambda batches: map(finish, _scan(batches, sent.value, names)), schema)
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -251,38 +312,30 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, window: int = WIND
     Repeated rows are searched each for itself. Items with equal ids count once. No
     documents give no rows.
     """
-    blocks = _blocks(benchmark, window)
-
-    def find(batches):
-        for batch, _, sizes, hit, names in _scan(batches, blocks):
-            ends = np.cumsum(sizes)
-            flags = [hit[a:b] for a, b in zip(ends - sizes, ends)]
-            items = [sorted(x) for x in names]
-            n_hit = [int(f.sum()) for f in flags]
-            struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            spans = [
-                [{"start": a, "end": b} for a, b in _spans(f)] if n else []
-                for f, n in zip(flags, n_hit)
-            ]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                    pa.array([n > 0 for n in n_hit], pa.bool_()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, struct),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256",
-                       "contaminated", "items", "spans"],
-            )
-
+    def report(scanned):
+        batch, _, sizes, hit, found = scanned
+        items, spans = [sorted(x) for x in found], _span_lists(sizes, hit)
+        n_hit = [sum(s["end"] - s["start"] for s in own) for own in spans]
+        return pa.record_batch(
+            [
+                batch.column("doc_id"),
+                pa.array(sizes),
+                pa.array(n_hit, pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
+                pa.array([n > 0 for n in n_hit], pa.bool_()),
+                pa.array(items, pa.list_(pa.string())),
+                pa.array(spans, _SPANS),
+            ],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256",
+                   "contaminated", "items", "spans"],
+        )
+
+    names = _Columns(["doc_id"])
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias(names.bytes)
     )
-    return rows.mapInArrow(find, FOUND_SCHEMA)
+    return _searched(rows, benchmark, window, names, report, FOUND_SCHEMA)
 
 
 def _without(text: bytes, flags: np.ndarray) -> bytes:
@@ -300,21 +353,21 @@ def remove_leaks(documents: DataFrame, benchmark: DataFrame, *, window: int = WI
 
     Texts without a hit stay as they are, null included; other columns too.
     """
-    blocks = _blocks(benchmark, window)
-
-    def remove(batches):
-        for batch, texts, sizes, hit, _ in _scan(batches, blocks):
-            ends = np.cumsum(sizes)
-            cut = [
-                _without(t, hit[a:b]) if hit[a:b].any() else t
-                for t, a, b in zip(texts, ends - sizes, ends)
-            ]
-            columns = [
-                pa.array(cut, pa.binary()) if name == "_bytes" else batch.column(name)
-                for name in batch.schema.names
-            ]
-            yield pa.record_batch(columns, names=batch.schema.names)
-
-    rows = documents.withColumn("_bytes", F.col("text").cast("binary")).drop("text")
-    found = rows.mapInArrow(remove, rows.schema).withColumn("text", F.col("_bytes").cast("string"))
-    return found.select(*documents.columns)
+    names = _Columns(documents.columns)
+
+    def remove(scanned):
+        batch, texts, sizes, hit, _ = scanned
+        ends = np.cumsum(sizes)
+        cut = [
+            _without(t, hit[a:b]) if hit[a:b].any() else t
+            for t, a, b in zip(texts, ends - sizes, ends)
+        ]
+        columns = [
+            pa.array(cut, pa.binary()) if name == names.bytes else batch.column(name) for name in plain
+        ]
+        return pa.record_batch(columns, names=plain)
+
+    rows = documents.withColumn(names.bytes, F.col("text").cast("binary")).drop("text")
+    plain = rows.columns
+    found = _searched(rows, benchmark, window, names, remove, rows.schema)
+    return found.withColumn("text", F.col(names.bytes).cast("string")).select(*documents.columns)

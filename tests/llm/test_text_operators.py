@@ -78,11 +78,13 @@ def test_fm_index_finds_every_occurrence():
         assert sorted(index.locate(np.arange(low, high)).tolist()) == want
 
 
-def test_leaks_agree_with_brute_force(spark):
+@pytest.mark.parametrize("block_bytes", [32 << 20, 200])
+def test_leaks_agree_with_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block_bytes)  # one block, or several passes
     items = [(i, prose(25)) for i in range(8)] + [(8, "short item"), (9, None), (10, ""), (3, prose(11)), (None, prose(14))]
     rows = [prose(50) + " " + items[1][1].upper() + ", " + prose(3), items[2][1][:60], None, "", "--",
             "a short-item b short item", items[0][1] + " " + items[0][1], "ü " + items[3][1], "x " + items[-1][1]]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("*", "'x' AS items")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("*", "'x' AS items", "1 AS _leak0", "2 AS _leak2")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     found = {r.doc_id: r for r in decontamination.find_leaks(docs, benchmark).collect()}
