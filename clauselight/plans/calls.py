@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,10 +45,13 @@ class Ledger(NamedTuple):
     version: str = "1"
 
     def opened(self, spark: SparkSession) -> DataFrame:
-        """All calls of the version; several runs may have made the same one."""
-        empty = spark.createDataFrame([], MADE_SCHEMA)
-        empty.write.mode("ignore").partitionBy("version", "run", "failed").parquet(self.path)
-        rows = spark.read.schema(MADE_SCHEMA).parquet(self.path)
+        """All calls of the version; several runs may have made the same one. A new ledger is empty."""
+        try:
+            rows = spark.read.schema(MADE_SCHEMA).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([], MADE_SCHEMA)
         return rows.filter(F.col("version") == self.version)
 
     def add(self, made: DataFrame) -> str:

@@ -291,7 +291,8 @@ def process(
         staged.filter("_keep AND call IS NOT NULL").select("document_id").distinct(), "document_id", "left_semi"
     )
     per_request = (
-        salted_join(staged, outcomes, "call", "left")
+        # One row a request: adaptive execution splits a call that very many share.
+        staged.join(outcomes, "call", "left")
         .withColumn("error", F.coalesce("staged_error", "error"))
         .drop("staged_error", "ask", "text_hash", "text_bytes")
     )
@@ -300,9 +301,7 @@ def process(
     asked = requests.select("request", "batch_id", "position", "include_original")
     per_item = salted_join(asked, per_request, "request", "left")
     kept = F.when(F.col("include_original"), F.col("_text"))
-    with_text = salted_join(per_item, originals, "document_id", "left", keys_from=requests).withColumn(
-        "original_text", kept
-    )
+    with_text = per_item.join(originals, "document_id", "left").withColumn("original_text", kept)
     simplified = with_text.filter("error IS NULL").select(
         "batch_id", "position", *schemas.columns(schemas.SIMPLIFIED_DOCUMENTS)
     )
