@@ -2,10 +2,9 @@
 
 The language model is modified Kneser-Ney of order 4 over the characters of a
 word between a start and an end sign. Spark counts the n-grams of all documents
-and derives discounts, probabilities and back-off weights; the finished model is
-a pair of sorted arrays of 24-bit n-gram hashes, so that a task holds at most
-2 * 2^24 entries of 8 bytes whatever the corpus. Word n-grams would not: nearly
-half of all word pairs here occur once.
+and derives discounts, probabilities and back-off weights. The finished model holds
+every n-gram by its characters, no hashes. It grows with the corpus; tasks hold one block
+of it at a time, and a document's log-probability is summed over all blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,8 @@ from clauselight.session import new_path
 
 ORDER = 4
 START, END = "\x02", "\x03"
-HASH_BITS = 24
+# N-grams of the model that a task holds at a time.
+BLOCK_ENTRIES = 1 << 22
 # A document is rejected if its log-perplexity is further from the median of its
 # language than so many standard deviations (as the quartiles tell them).
 LOWER, UPPER = 3.0, 3.0
@@ -35,7 +34,9 @@ _NOT_SYMBOLS = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 
 
 def _padded(word: bytes) -> str:
-    return START + word.decode("utf-8", "replace") + END
+    text = word.decode("utf-8", "replace")
+    # Signs in the text itself are told apart: as white space, which no word holds.
+    return START + text.replace(START, "\t").replace(END, "\n") + END
 
 
 def _event_counts(codes: np.ndarray, place: np.ndarray, times: np.ndarray) -> Counter:
@@ -195,94 +196,107 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.array([pow(int(_BASE), i, 1 << 64) for i in range(ORDER)], np.uint64)
+# A character is its code point and one; 0 stands for none. Two of them make one number.
+_BITS = 21
 
 
-def _language(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(lang))
+def scored_grams(finished: DataFrame) -> DataFrame:
+    """The model's entries that texts counted into it need: n-grams of full length, at a word's start shorter."""
+    full = (_length() == ORDER) | F.col("gram").startswith(START)
+    return finished.filter((F.col("kind") == "p") & full)
 
 
-def _key(sums: np.ndarray, size, lang: np.uint64) -> np.ndarray:
-    x = (sums + np.uint64(0x632BE59BD9B4E019) * np.asarray(size, np.uint64)) ^ lang
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+def hashed_model(finished: DataFrame) -> DataFrame:
+    """(kind, lang, before, last, value): n-grams as two numbers of two characters each, the last two in ``last``."""
 
+    def character(from_end: int) -> Column:
+        code = F.ascii(F.substring("gram", -from_end, 1)).cast("long") + 1
+        return F.when(_length() >= from_end, code).otherwise(F.lit(0).cast("long"))
 
-def _gram_keys(langs: list[str], grams: list[str]) -> np.ndarray:
-    """Keys of n-grams as the model holds them; none of them is empty."""
-    sizes = np.array([len(g) for g in grams], np.int64)
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    first = np.cumsum(sizes) - sizes
-    from_end = np.repeat(first + sizes, sizes) - 1 - np.arange(len(codes))
-    sums = np.add.reduceat(codes * _POWERS[from_end], first)
-    names = sorted(set(langs))
-    seeds = np.array([_language(x) for x in names], np.uint64)
-    number = {x: i for i, x in enumerate(names)}
-    return _key(sums, sizes.astype(np.uint64), seeds[[number[x] for x in langs]])
+    def pair(from_end: int) -> Column:
+        return F.shiftleft(character(from_end + 1), _BITS).bitwiseOR(character(from_end))
 
+    return finished.filter("gram <> ''").select(
+        "kind", "lang", pair(3).alias("before"), pair(1).alias("last"), "value"
+    )
 
-def hashed_model(finished: DataFrame) -> DataFrame:
-    """(kind, key, value): at most 2^24 entries of a kind; n-grams of one key share the larger value."""
 
-    def to_keys(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keys = _gram_keys(batch.column("lang").to_pylist(), batch.column("gram").to_pylist())
-                yield pa.record_batch(
-                    [batch.column("kind"), pa.array(keys.astype(np.int32)), batch.column("value")],
-                    names=["kind", "key", "value"],
-                )
+def _pairs(characters: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of ``size`` characters at ``ends``, as ``hashed_model`` writes them."""
 
-    keyed = finished.filter("gram <> ''").mapInArrow(to_keys, "kind string, key int, value float")
-    return keyed.groupBy("kind", "key").agg(F.max("value").alias("value"))
+    def at(back: int) -> np.ndarray:
+        return characters[ends - back] if back < size else np.zeros(len(ends), np.int64)
+
+    return at(3) << _BITS | at(2), at(1) << _BITS | at(0)
 
 
 class Model:
-    """Sorted hash arrays of log-probabilities and back-off weights."""
+    """Sorted arrays of log-probabilities and back-off weights by kind and language, or a block of them.
+
+    Pairs of characters are numbered; two numbers are the key of an n-gram, so no two share one.
+    """
 
     def __init__(self, entries: pa.Table, unseen: dict[str, float]):
         self.unseen, self.arrays = unseen, {}
-        kinds = np.asarray(entries.column("kind").to_pylist())
-        keys = entries.column("key").to_numpy().astype(np.uint32)
-        values = entries.column("value").to_numpy()
-        for kind in ("p", "b"):
-            own = np.flatnonzero(kinds == kind)
-            own = own[np.argsort(keys[own])]
-            self.arrays[kind] = keys[own], values[own]
-
-    def _find(self, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have, values = self.arrays[kind]
-        if not len(have):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        if not entries.num_rows:
+            return
+        groups, number = [], np.zeros(entries.num_rows, np.int64)
+        for name in ("kind", "lang"):
+            column = pa.concat_arrays(entries.column(name).chunks).dictionary_encode()
+            groups.append(column.dictionary.to_pylist())
+            number = number * len(groups[-1]) + column.indices.to_numpy()
+        before, last, values = (entries.column(name).to_numpy() for name in ("before", "last", "value"))
+        order = np.argsort(number, kind="stable")
+        starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        for own in np.split(order, starts[1:]):
+            kind, lang = divmod(int(number[own[0]]), len(groups[1]))
+            pairs = np.unique(np.concatenate([before[own], last[own]]))
+            keys = np.searchsorted(pairs, before[own]) << 32 | np.searchsorted(pairs, last[own])
+            order_of_keys = np.argsort(keys)
+            self.arrays[groups[0][kind], groups[1][lang]] = pairs, keys[order_of_keys], values[own][order_of_keys]
+
+    def _find(self, kind: str, lang: str, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if (kind, lang) not in self.arrays:
+            return np.zeros(len(last), bool), np.zeros(len(last), np.float32)
+        pairs, have, values = self.arrays[kind, lang]
+        first, second = (np.minimum(np.searchsorted(pairs, x), len(pairs) - 1) for x in (before, last))
+        keys = first << 32 | second
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return have[at] == keys, values[at]
+        return (pairs[first] == before) & (pairs[second] == last) & (have[at] == keys), values[at]
 
     def score(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probability and number of characters of each word."""
+        """Summed log-probability and number of characters of each word, by a model in one block."""
         codes, place, sizes = _laid_out([_padded(w) for w in words])
-        codes, first = codes.astype(np.uint64), np.cumsum(sizes) - sizes
-        seed = _language(lang)
-        sums, total = [np.zeros(len(codes), np.uint64)], np.zeros(len(codes), np.uint64)
-        for i in range(ORDER):
-            total = total.copy()
-            total[i:] += codes[: len(codes) - i] * _POWERS[i]
-            sums.append(total)
+        characters, first = codes.astype(np.int64) + 1, np.cumsum(sizes) - sizes
         # From the longest n-gram down: the first one found, plus the back-off on the way.
         value = np.zeros(len(codes))
         waiting = np.flatnonzero(place > 0)
         for size in range(ORDER, 0, -1):
             able = waiting[place[waiting] >= size - 1]
-            found, p = self._find("p", _key(sums[size][able], size, seed))
+            found, p = self._find("p", lang, *_pairs(characters, able, size))
             value[able[found]] += p[found]
             missed = able[~found]
             if size > 1 and len(missed):
-                known, b = self._find("b", _key(sums[size - 1][missed - 1], size - 1, seed))
+                known, b = self._find("b", lang, *_pairs(characters, missed - 1, size - 1))
                 value[missed[known]] += b[known]
             waiting = np.concatenate([waiting[place[waiting] < size - 1], missed])
         value[waiting] += self.unseen.get(lang, np.log(1e-12))
         return np.add.reduceat(value, first), (sizes - 1).astype(np.float64)
 
+    def counted(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The share of this block in the log-probability of words that were counted into the model.
+
+        All their n-grams are in one of the blocks at full length, so none backs off.
+        """
+        codes, place, sizes = _laid_out([_padded(w) for w in words])
+        characters, first = codes.astype(np.int64) + 1, np.cumsum(sizes) - sizes
+        value = np.zeros(len(codes))
+        for size in range(2, ORDER + 1):
+            ends = np.flatnonzero(place >= size - 1 if size == ORDER else place == size - 1)
+            found, p = self._find("p", lang, *_pairs(characters, ends, size))
+            value[ends[found]] = p[found]
+        return np.add.reduceat(value, first), sizes - 1
+
 
 class _Scorer:
     """Scores of words by language; new words of a slice are scored together."""
@@ -290,7 +304,8 @@ class _Scorer:
     def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit, self.known = model, limit, {}
 
-    def perplexities(self, langs: list[str], documents: list[list[bytes]]) -> list[float | None]:
+    def sums(self, langs: list[str], documents: list[list[bytes]]) -> list[tuple[float, int]]:
+        """Summed log-probability of each document in the model's block, and its characters."""
         for lang in set(langs):
             known = self.known.setdefault(lang, {})
             if len(known) > self.limit:
@@ -298,20 +313,20 @@ class _Scorer:
             new = list({w for own, d in zip(langs, documents) if own == lang for w in d} - known.keys())
             for at in range(0, len(new), 50_000):
                 part = new[at : at + 50_000]
-                known.update(zip(part, zip(*(x.tolist() for x in self.model.score(lang, part)))))
+                known.update(zip(part, zip(*(x.tolist() for x in self.model.counted(lang, part)))))
         out = []
         for lang, words in zip(langs, documents):
-            known, p, n = self.known[lang], 0.0, 0.0
+            known, p, n = self.known[lang], 0.0, 0
             for value, size in map(known.__getitem__, words):
                 p += value
                 n += size
-            out.append(-p / n if n else None)
+            out.append((p, n))
         return out
 
 
 MEASURES_SCHEMA = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long,"
-    " n_dup_lines long, n_repeat_words long, log_perplexity double"
+    "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long,"
+    " n_dup_lines long, n_repeat_words long, log_sum double, n_scored long"
 )
 
 
@@ -338,7 +353,7 @@ def measures(documents: DataFrame, model) -> DataFrame:
         for batch in batch_rows(batches):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             words = [t.split() for t in texts]
-            scores = scorer.perplexities(batch.column("lang").to_pylist(), words)
+            scores = scorer.sums(batch.column("lang").to_pylist(), words)
             joined = [b"".join(w) for w in words]
             # Bytes that continue a code point are 10xxxxxx.
             points = [len(j) if j.isascii() else len(j.decode("utf-8", "replace")) for j in joined]
@@ -350,16 +365,70 @@ def measures(documents: DataFrame, model) -> DataFrame:
                 [_repeat_words(w) for w in words],
             ]
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("lang")]
+                [batch.column("row"), batch.column("doc_id"), batch.column("lang")]
                 + [pa.array(x, pa.int64()) for x in numbers]
-                + [pa.array(scores, pa.float64())],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols",
-                       "n_dup_lines", "n_repeat_words", "log_perplexity"],
+                + [pa.array([p for p, _ in scores], pa.float64()), pa.array([n for _, n in scores], pa.int64())],
+                names=["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols",
+                       "n_dup_lines", "n_repeat_words", "log_sum", "n_scored"],
             )
 
     return documents.mapInArrow(measure, MEASURES_SCHEMA)
 
 
+def block_sums(documents: DataFrame, model) -> DataFrame:
+    """(row, log_sum): what a further block of the model adds to each row."""
+
+    def add(batches):
+        scorer = _Scorer(model.value)
+        for batch in batch_rows(batches):
+            words = [t.split() if t else [] for t in batch.column("text").to_pylist()]
+            scores = scorer.sums(batch.column("lang").to_pylist(), words)
+            yield pa.record_batch(
+                [batch.column("row"), pa.array([p for p, _ in scores], pa.float64())], names=["row", "log_sum"]
+            )
+
+    return documents.mapInArrow(add, "row long, log_sum double")
+
+
+def scored(rows: DataFrame, finished: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """Measures and log-perplexity of all rows of (doc_id, lang, text) that were counted into the model.
+
+    The model is sent in blocks, one at a time, any number of them. One block takes one pass over the
+    texts; if there are more, texts are numbered and stored once and each takes a pass.
+    """
+    context = rows.sparkSession.sparkContext
+    entries = _stored(hashed_model(scored_grams(finished)), "model-entries")
+    blocks = max(1, -(-entries.count() // block_entries))
+    if blocks == 1:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
+    else:
+        rows = _stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+        # Dealt out once, not read whole for each block.
+        block = F.pmod(F.xxhash64("lang", "before", "last"), F.lit(blocks)).cast("int")
+        path = new_path(rows.sparkSession, "model-blocks")
+        entries.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
+        entries = rows.sparkSession.read.parquet(path)
+    measured, more = None, []
+    for i in range(blocks):
+        own = entries if blocks == 1 else entries.filter(F.col("block") == i).drop("block")
+        sent = context.broadcast(Model(own.toArrow(), {}))
+        if i == 0:
+            measured = _stored(measures(rows, sent), "quality-measures")
+        else:
+            more.append(_stored(block_sums(rows, sent), "block-sums").withColumn("block", F.lit(i)))
+        sent.unpersist()
+    if more:
+        sums = more[0]
+        for part in more[1:]:
+            sums = sums.union(part)
+        # Added up in the order of blocks: copies of a text get the same sum.
+        of = F.sort_array(F.collect_list(F.struct("block", "log_sum")))
+        sums = sums.groupBy("row").agg(F.aggregate(of, F.lit(0.0), lambda x, y: x + y["log_sum"]).alias("_more"))
+        measured = measured.join(sums, "row").withColumn("log_sum", F.col("log_sum") + F.col("_more")).drop("_more")
+    score = F.when(F.col("n_scored") > 0, -F.col("log_sum") / F.col("n_scored"))
+    return measured.withColumn("log_perplexity", score).drop("row", "log_sum", "n_scored")
+
+
 def quality(documents: DataFrame, *, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """Rule measures, log-perplexity and verdict of every row of (doc_id, lang, text).
 
@@ -377,10 +446,7 @@ def quality(documents: DataFrame, *, lower: float = LOWER, upper: float = UPPER)
     )
     counts = _stored(ngram_counts(rows.select("lang", "text")), "ngram-events")
     finished = _stored(kneser_ney(counts), "model")
-    unseen = {r["lang"]: r["value"] for r in finished.filter("kind = 'p' AND gram = ''").collect()}
-    model = Model(hashed_model(finished).toArrow(), unseen)
-    model = documents.sparkSession.sparkContext.broadcast(model)
-    measured = _stored(measures(rows, model), "quality-measures")
+    measured = scored(rows, finished)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     # Scores count once, so that copies of a text don't make the band.

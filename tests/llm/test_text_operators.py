@@ -235,6 +235,26 @@ def test_bands_reject_on_both_sides(spark):
     assert sum(got[i].kept for i in range(200)) > 180
 
 
+def test_each_ngram_of_the_model_keeps_its_own_probability(spark):
+    # So many n-grams that 24 bits can't tell them apart.
+    rng = random.Random(3)
+    rows = [("x", "".join(map(chr, rng.choices(range(0x4E00, 0x9E00), k=40_000))).encode()), ("x", b"\x02a a\x03b ab \x00")]
+    texts = spark.createDataFrame(rows, "lang string, text binary")
+    finished = perplexity._stored(perplexity.kneser_ney(perplexity.ngram_counts(texts)), "model").cache()
+    table = {(r.lang, r.gram): r.value for r in finished.filter("kind = 'p' AND gram <> ''").collect()}
+    assert len(table) == finished.filter("kind = 'p' AND gram <> ''").count() > 80_000
+    numbered = texts.selectExpr("CAST(length(text) AS LONG) AS doc_id", "lang", "text")
+    one, several = ({r.doc_id: r.log_perplexity for r in perplexity.scored(numbered, finished, n).collect()} for n in (1 << 22, 9_000))
+    for _, text in rows:
+        total, n = 0.0, 0
+        for word in text.split():
+            padded = perplexity._padded(word)
+            total += sum(table["x", padded[max(0, i - 3) : i + 1]] for i in range(1, len(padded)))
+            n += len(padded) - 1
+        assert one[len(text)] == pytest.approx(-total / n, rel=1e-9)
+        assert several[len(text)] == pytest.approx(-total / n, rel=1e-9)
+
+
 def test_symbol_laden_documents_are_in_the_model(spark):
     rows = [("md", b"| a | b | # c"), ("en", b"plain words"), ("en", b"# $x$ <b>")]
     counts = perplexity.ngram_counts(spark.createDataFrame(rows, "lang string, text binary")).collect()
