@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselight import schemas
 from clauselight.operators.skew import salted_join
+from clauselight.sources import files
 
 UPLOAD_ID = r"uploads/([^/]+)/"
 
@@ -46,21 +47,25 @@ def raw_files(
 ) -> DataFrame:
     """Uploaded files in a folder and those below it, with the document id from their path.
 
-    ``names`` is a pattern that file names must match. Without ``content``, or if a
-    query doesn't use it, only the listing is read and no file is opened.
+    ``names`` is a pattern that file names must match. Without ``content`` only the
+    listing is read and no file is opened. Empty files are left out. Listing and reading are
+    tasks' work; a store that only Spark opens is left to its own reader.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if names is not None:
-        reader = reader.option("pathGlobFilter", names)
-    files = reader.load(path).select(
+    if files.reachable(path):
+        found = files.listed(spark, path, names)
+        if content:
+            found = files.with_bytes(found, path)
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if names is not None:
+            reader = reader.option("pathGlobFilter", names)
+        found = reader.load(path)
+    columns = ("path", "modificationTime", "length", *(["content"] if content else []))
+    return found.select(
         F.regexp_extract("path", UPLOAD_ID, 1).alias("document_id"),
         F.regexp_extract("path", r"(uploads/[^/]+/.+)$", 1).alias("storage_path"),
-        "path",
-        "modificationTime",
-        "length",
-        "content",
+        *columns,
     )
-    return files if content else files.drop("content")
 
 
 def raw_uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,29 @@ def test_listing_opens_no_file(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema:")[1]
 
 
+def test_files_are_listed_by_a_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "out")
+    many = spark.range(600).selectExpr("'uploads/d' || id || '/f{' || id % 3 || '}.txt' AS file", "encode(id, 'UTF-8') AS content")
+    write_files(many.repartition(3), path)
+    for hidden in ("_tmp/x", ".x", "y._COPYING_", "_k=1/x"):
+        (tmp_path / "out" / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / "out" / hidden).write_text("x")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    for names in ("*", "f{*", "f[{]{0}.txt", "f\\{[!12]}.t?t", "{x,f\\{2*}", "[^f]*"):
+        try:
+            want = sorted((r.path.removeprefix("file:"), r.length, bytes(r.content)) for r in read.option("pathGlobFilter", names).load(path).collect())
+        except Exception:  # noqa: BLE001 - not a pattern
+            continue
+        got = sources.raw_files(spark, path, names=names)
+        assert sorted((r.path, r.length, bytes(r.content)) for r in got.collect()) == want
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    assert sources.raw_files(spark, path).count() == 601
+    stages = {s for j in jobs.getJobIdsForGroup("listing") for s in jobs.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert all(s.numTasks < 100 for s in map(jobs.getStageInfo, stages) if s)
+
+
 def test_reports_as_files_and_as_a_table(spark, tmp_path):
     one = spark.createDataFrame(
         [("a/b c", "f.txt", "s", ["k"], {"t": "d"}, [], ["w"], [], datetime(2024, 1, 2), 0.9, "college")],
