@@ -58,7 +58,9 @@ class _FilesWriter(DataSourceArrowWriter):
                 parent = target.rpartition("/")[0]
                 if parent not in made:
                     store.create_dir(parent, recursive=True)
-                    made = {parent} if len(made) > 10_000 else made | {parent}
+                    if len(made) > 10_000:
+                        made.clear()
+                    made.add(parent)
                 with store.open_output_stream(target) as out:
                     out.write(content.as_py() or b"")
                 files += 1
