@@ -230,3 +230,41 @@ def test_period_prunes_days(spark, tmp_path):
     empty = usage.usage_statistics(stored, datetime(2025, 1, 1), datetime(2025, 1, 2)).first()
     assert empty["total_actions"] == 0 and empty["average_processing_time"] is None
     assert usage.usage_statistics(stored, datetime(2024, 1, 1), datetime(2024, 2, 1), exact=False).first()["unique_documents"] == 1
+
+
+def test_outcomes_are_shuffled_once_for_their_items(spark, workdir):
+    items = spark.createDataFrame([("0", True), ("3", False), ("nowhere", False)], "document_id string, include_original boolean")
+    out = lifecycle.process(items, metadata(spark), texts(spark), generator(), workdir, as_of=AT)
+    assert {r.document_id: r.original_text for r in out.simplified.collect()} == {"0": "document number 0", "3": None}
+    lines = out.simplified._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = max(i for i, line in enumerate(lines) if "Relation" in line and "key_points" in line)
+    depth, above = lines[at].index("Relation"), []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            depth = own
+            above.append(line)
+    # They meet their texts and their items, both by the call.
+    assert 1 <= sum("Join" in line for line in above) <= 2
+
+
+def test_responses_of_a_run_are_not_shuffled(spark, workdir):
+    ledger = lifecycle.Ledger(f"{workdir}/ledger")
+    made = spark.createDataFrame([("k", "one", None, 1.0, 3)], "call string, response string, error string, seconds double, words long")
+    run = ledger.add(made)
+    found = ledger.outcomes(spark, made.select("call"), run)
+    assert [(r.call, r.response) for r in found.collect()] == [("k", "one")]
+    # What this run made stands before the union, without an exchange.
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+
+
+def test_responses_are_handed_on_in_pieces(spark, monkeypatch):
+    from clauselight.functions import generation
+
+    seen, frame = [], generation.pd.DataFrame
+    monkeypatch.setattr(generation, "BATCH_CHARS", 1000)
+    monkeypatch.setattr(generation.F, "pandas_udf", lambda f, _: seen.append(f) or generation.F.udf(f))
+    generation.generated(F.lit("x"), lambda p: p * 2)
+    pieces = list(seen[0](iter([frame({"p": ["a" * 100] * 50 + [None]})["p"], frame({"p": ["b"]})["p"]])))
+    assert max(map(len, pieces)) <= 4 and sum(map(len, pieces)) == 52
+    assert pieces[-1].response.tolist() == ["bb"]
