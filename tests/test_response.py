@@ -152,3 +152,10 @@ def test_markdown(spark):
         "## Warnings\n- w\n\n## Next Steps\n- n\n\n---\n*Simplified on 1/2/2024*\n"
         "*Confidence Score: 70%*\n*Reading Level: college*"
     )
+
+
+def test_the_block_between_braces(spark):
+    texts = ["{}", "{", "}", "}{", "{}{}", " {a} ", "x{\n}y}", "{a} b", "a {b}", "", None, "none"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r[0] for r in rows.orderBy("id").select(response.json_block(F.col("text"))).collect()]
+    assert got == ["{}", "", "", "", "{}{}", "{a}", "{\n}y}", "{a}", "{b}", "", None, ""]

@@ -136,3 +136,18 @@ def test_random_texts(spark, batch):
         assert measured == plain_measures(text), repr(text)
         assert row["w"] == row["total_words"], repr(text)
         assert row["n"] == plain_normalise(text), repr(text)
+
+
+def test_white_space_of_any_kind_is_collapsed(spark):
+    """Every character on its own and in runs, against the class as one pattern."""
+    point = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    rows = spark.range(0x3100).withColumn("c", point).select(
+        F.concat(F.lit("a"), "c", F.lit("b "), "c", F.lit("\n"), "c", "c", F.lit(" c"), "c").alias("text")
+    )
+    plain = F.regexp_replace("text", tx.WHITESPACE_CLASS + "+", " ")
+    assert rows.filter(tx.collapse(F.col("text")) != plain).count() == 0
+    assert rows.filter(tx.spaced_word_count(tx.collapse(F.col("text"))) != tx.word_count(F.col("text"))).count() == 0
+    # Runs of one space, which most are, are not matched.
+    assert tx.WHITESPACE_CLASS + "+" not in str(tx.collapse(F.col("text")))
+    edges = frame(spark, ["", " ", "\n", " \t ", None])
+    assert values(edges.select("id", tx.spaced_word_count(tx.collapse(F.col("text"))).alias("n")), "n") == [0, 0, 0, 0, None]
