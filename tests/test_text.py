@@ -151,3 +151,12 @@ def test_white_space_of_any_kind_is_collapsed(spark):
     assert tx.WHITESPACE_CLASS + "+" not in str(tx.collapse(F.col("text")))
     edges = frame(spark, ["", " ", "\n", " \t ", None])
     assert values(edges.select("id", tx.spaced_word_count(tx.collapse(F.col("text"))).alias("n")), "n") == [0, 0, 0, 0, None]
+
+
+def test_only_texts_that_may_hold_a_match_are_searched(spark):
+    rows = frame(spark, ["7", "٣ ", " 7", "7 Page 1 of 2", "Page\n1 of 22", "Pages", "a [b", "[(] c)", "plain  text", "", None])
+    assert values(rows.select("id", tx.normalise(F.col("text")).alias("n")), "n") == [
+        "", "", "7", "", "", "Pages", "a [b", "c)", "plain text", "", None
+    ]
+    plan = rows.select(tx.normalise(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("Page \\p{Nd}+")
